@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, quality
+from . import language_id, ngram_join, quality
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +20,35 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(read(spark, sf_dir, "documents"))
+
+
+_OP3_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS w FROM documents WHERE text IS NOT NULL
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE [w[i] || ' ' || w[i+1] || ' ' || w[i+2] FOR i IN range(1, len(w) - 1)] END)) AS g
+  FROM words WHERE len(w) > 0
+), lead AS (SELECT g, min(doc_id) AS id, count(*) AS copies FROM sets GROUP BY g),
+grams AS (SELECT id, len(g) AS size, unnest(g) AS x FROM lead),
+shared AS (
+  SELECT a.id AS doc_a, b.id AS doc_b, any_value(a.size) AS size_a, any_value(b.size) AS size_b, count(*) AS overlap
+  FROM grams a JOIN grams b ON a.x = b.x AND a.id < b.id GROUP BY ALL
+)
+SELECT doc_a, doc_b, size_a, size_b, overlap, overlap / (size_a + size_b - overlap) AS jaccard FROM shared
+WHERE overlap / (size_a + size_b - overlap) >= 0.6
+UNION ALL
+SELECT DISTINCT l.id, s.doc_id, len(s.g), len(s.g), len(s.g), 1.0::DOUBLE FROM sets s JOIN lead l ON s.g = l.g WHERE s.doc_id > l.id
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": _OP3_SQL.replace("\\\\x", "\\x"),
+}
