@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import language_id, quality
+from pagewright.llm import language_id, ngram_join, packing, quality
 from pagewright.llm.common import read, shared_dir
 
 
@@ -20,9 +20,19 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
+def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs)
+
+
+def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", stage_language),
     ("quality_classifier", stage_quality),
+    ("ngram_jaccard_join", stage_near_duplicates),
+    ("best_fit_packing", stage_packing),
 ]
 
 #: Trained models decide, which SQL cannot express; tests hold every stage against a brute-force version.

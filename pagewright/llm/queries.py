@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language_id, ngram_join, quality
+from . import language_id, ngram_join, packing, quality, sentencepiece_codec, sharding, spotsigs
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,12 +44,77 @@ UNION ALL
 SELECT DISTINCT l.id, s.doc_id, len(s.g), len(s.g), len(s.g), 1.0::DOUBLE FROM sets s JOIN lead l ON s.g = l.g WHERE s.doc_id > l.id
 """
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(read(spark, sf_dir, "documents"))
+
+
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.similar_documents(read(spark, sf_dir, "documents"))
+
+
+def _spot_sql() -> str:
+    words = lambda ws: ", ".join(f"'{w}'" for w in dict.fromkeys(ws))
+    return rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS ws FROM documents WHERE text IS NOT NULL
+), word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM w),
+content AS (
+  SELECT doc_id, x, i, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS y FROM word WHERE x NOT IN ({words(spotsigs.COMMON)})
+), anchor AS (
+  SELECT a.doc_id, a.x, min(c.i) AS at FROM word a JOIN content c ON a.doc_id = c.doc_id AND c.i > a.i
+  WHERE a.x IN ({words(spotsigs.ANCHORS)}) GROUP BY a.doc_id, a.x, a.i
+), sig AS (
+  SELECT DISTINCT a.doc_id, a.x || ' ' || c.x || ' ' || c.y AS s FROM anchor a JOIN content c ON a.doc_id = c.doc_id AND c.i = a.at WHERE c.y IS NOT NULL
+), sets AS (SELECT doc_id, list_sort(list(s)) AS g FROM sig GROUP BY 1),
+lead_ AS (SELECT g, min(doc_id) AS id FROM sets GROUP BY g),
+flat AS (SELECT id, len(g) AS size, unnest(g) AS s FROM lead_),
+shared AS (
+  SELECT a.id AS doc_a, b.id AS doc_b, any_value(a.size) AS size_a, any_value(b.size) AS size_b, count(*) AS overlap
+  FROM flat a JOIN flat b ON a.s = b.s AND a.id < b.id GROUP BY ALL
+)
+SELECT doc_a, doc_b, size_a, size_b, overlap, overlap / (size_a + size_b - overlap) AS jaccard FROM shared
+WHERE overlap / (size_a + size_b - overlap) >= 0.5
+UNION ALL
+SELECT DISTINCT l.id, s.doc_id, len(s.g), len(s.g), len(s.g), 1.0::DOUBLE FROM sets s JOIN lead_ l ON s.g = l.g WHERE s.doc_id > l.id
+"""
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents over 64 shards by bytes; copies of a text stay together."""
+    return sharding.shard(read(spark, sf_dir, "documents"), F.md5("text"), F.octet_length("text"))
+
+
+_OP8_SQL = """
+WITH RECURSIVE grouped AS (
+  SELECT md5(text) AS group_key, sum(coalesce(strlen(text), 0))::BIGINT AS group_size FROM documents GROUP BY 1
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY group_size DESC, group_key ASC NULLS FIRST) AS i FROM grouped
+), placed(i, loads, shard) AS (
+  SELECT 0::BIGINT, [0::BIGINT FOR x IN range(64)], NULL::INTEGER
+  UNION ALL
+  SELECT r.i, [p.loads[j + 1] + CASE WHEN j = p.least THEN r.group_size ELSE 0 END FOR j IN range(64)], p.least::INTEGER
+  FROM (SELECT i, loads, list_position(loads, list_min(loads)) - 1 AS least FROM placed) p JOIN ranked r ON r.i = p.i + 1
+)
+SELECT d.doc_id, r.group_key, r.group_size, p.shard
+FROM documents d JOIN ranked r ON md5(d.text) IS NOT DISTINCT FROM r.group_key JOIN placed p ON p.i = r.i
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_sharding": op8_sharding,
+    "op9_spotsigs": op9_spotsigs,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_spotsigs": _spot_sql().replace("\\\\x", "\\x"),
+    "op8_sharding": _OP8_SQL,
     "op3_ngram_jaccard_join": _OP3_SQL.replace("\\\\x", "\\x"),
 }
