@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, ngram_join, packing, quality, sentencepiece_codec, sharding, spotsigs
+from . import chroma, language_id, license_scan, ngram_join, packing, quality, sentencepiece_codec, sharding, spotsigs, url_filter
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+def op4_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio, so each document's text is played as a recording."""
+    media = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("audio"))
+    return chroma.match_recordings(media, chroma.text_decoder)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(read(spark, sf_dir, "documents"))
 
@@ -105,9 +119,12 @@ FROM documents d JOIN ranked r ON md5(d.text) IS NOT DISTINCT FROM r.group_key J
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_chroma_fingerprints": op4_chroma_fingerprints,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
     "op9_spotsigs": op9_spotsigs,
     "op10_quality_classifier": op10_quality_classifier,
@@ -115,6 +132,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op9_spotsigs": _spot_sql().replace("\\\\x", "\\x"),
+    "op7_url_filter": url_filter.oracle_sql(),
     "op8_sharding": _OP8_SQL,
     "op3_ngram_jaccard_join": _OP3_SQL.replace("\\\\x", "\\x"),
 }
