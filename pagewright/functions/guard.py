@@ -7,7 +7,6 @@ ASCII, in its NFKC form, which needs the one Arrow function here.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -15,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .urls import SPACE
+from .urls import SPACE, let
 
 TOKEN = "[REDACTED_PROMPT_INJECTION]"
 #: Word borders over ASCII word characters, as the patterns mean them.
@@ -91,11 +90,6 @@ def _match(text: Column, source: str) -> Column:
     return F.nullif(F.regexp_extract(text, f"(?i)({source})", 1), F.lit(""))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` worked out once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def signals(text: Column) -> Column:
     """``array<struct<id, severity, label, match>>``, one of each pattern at most, in their order.
 

@@ -21,17 +21,32 @@ from . import whatwg
 TRACKING = ("_ga", "_gl", "dclid", "fbclid", "gbraid", "gclid", "igshid", "mc_cid", "mc_eid", "msclkid", "s_kwcid", "twclid", "twscroll", "vero_id", "wbraid", "yclid")
 TRACKING_RE = "(?i)^(utm_[a-z_]+|" + "|".join(TRACKING) + ")$"
 #: Scheme, host without port, port, path, query: of URLs that need no normalisation but case and default port.
-PLAIN_RE = r"^([hH][tT][tT][pP][sS]?)://([A-Za-z0-9_.\-]*[A-Za-z_\-])(?::([0-9]{1,4}))?(/[A-Za-z0-9_.~!$&()*+,;=:@/\-]*)?(?:[?]([A-Za-z0-9_.~!$&()*,;=:@/?\-]*))?(?:#.*)?$"
+PLAIN_RE = r"^(?![^?#]*/[.]{1,2}(?:[/?#]|$))([hH][tT][tT][pP][sS]?)://(?!(?i:[^/]*(?:xn--|0x)))([A-Za-z0-9_.\-]*[A-Za-z_\-])(?::([0-9]{1,4}))?(/[A-Za-z0-9_.~!$&()*+,;=:@/\-]*)?(?:[?]([A-Za-z0-9_.~!$&()*,;=:@/?\-]*))?(?:#[\x21-\x7E&&[^\"<>`]]*)?$"
 SPACE = r"[\s\x{FEFF}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
-def _piece(url: Column, k: int) -> Column:
-    return F.regexp_extract(url, PLAIN_RE, k)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def plain_parts(url: Column) -> Column:
+    """``[scheme, host, port, path, query]`` of a URL that SQL expressions read as a browser would, else null.
+
+    Scheme and host are in lower case; a port of its scheme's own and a path that isn't there are empty.
+    """
+    raw = F.split(F.regexp_replace(url, PLAIN_RE, "$1\t$2\t$3\t$4\t$5"), "\t")
+
+    def tidy(p: Column) -> Column:
+        scheme, port = F.lower(p[0]), F.regexp_replace(p[2], "^0+(?=[0-9])", "")
+        own = ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80"))
+        return F.array(scheme, F.lower(p[1]), F.when(own, "").otherwise(port), p[3], p[4])
+
+    return F.when(url.rlike(PLAIN_RE), let(raw, tidy))
 
 
 def is_plain(url: Column) -> Column:
-    """Whether the SQL expressions here read ``url`` as a browser would."""
-    return url.rlike(PLAIN_RE) & ~F.coalesce(_piece(url, 4), F.lit("")).rlike(r"(^|/)[.]{1,2}(/|$)") & ~_piece(url, 2).rlike("(?i)(^|[.])(xn--|0x)")
+    return F.coalesce(url.rlike(PLAIN_RE), F.lit(False))
 
 
 def arrow_text(fn: Callable[[str], str | None], kind: str = "string"):
@@ -68,20 +83,21 @@ _dedup_key_udf = arrow_text(dedup_key)
 def url_dedup_key(url: Column) -> Column:
     """Key under which URLs of one resource meet: no scheme, fragment, tracking or trailing slash; query sorted by key."""
     text = F.regexp_replace(url, f"^{SPACE}+|{SPACE}+$", "")
-    pairs = F.transform(F.filter(F.split(_piece(text, 5), "&"), lambda x: x != ""), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(F.instr(x, "=") > 0, F.regexp_replace(x, "^[^=]*=", "")).otherwise("").alias("v")))
-    kept = F.filter(pairs, lambda x: ~x["k"].rlike(TRACKING_RE))
-    ranked = F.array_sort(F.transform(kept, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v"))))
-    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(F.transform(ranked, lambda x: F.concat(x["k"], F.lit("="), x["v"])), "&"))).otherwise("")
-    port = _piece(text, 3)
-    secure = F.lower(_piece(text, 1)) == "https"
-    shown = F.when((port == "") | (secure & (port == "443")) | (~secure & (port == "80")), "").otherwise(F.concat(F.lit(":"), F.regexp_replace(port, "^0+(?=[0-9])", "")))
-    key = F.lower(F.concat(_piece(text, 2), shown, F.regexp_replace(_piece(text, 4), "/+$", ""), query))
-    return F.when(url.isNull() | (text == ""), F.lit("")).when(is_plain(text), key).otherwise(_dedup_key_udf(F.when(~is_plain(text), text)))
+
+    def key(p: Column) -> Column:
+        pairs = F.transform(F.filter(F.split(p[4], "&"), lambda x: x != ""), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(x, "^[^=]*=?", "").alias("v")))
+        kept = F.filter(pairs, lambda x: ~x["k"].rlike(TRACKING_RE))
+        ranked = F.array_sort(F.transform(kept, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v"))))
+        query = F.array_join(F.transform(ranked, lambda x: F.concat(x["k"], F.lit("="), x["v"])), "&")
+        shown = F.when(p[2] == "", "").otherwise(F.concat(F.lit(":"), p[2]))
+        return let(query, lambda q: F.lower(F.concat(p[1], shown, F.regexp_replace(p[3], "/+$", ""), F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))))
+
+    return F.coalesce(let(plain_parts(text), key), _dedup_key_udf(F.when(~is_plain(text), text)), F.lit(""))
 
 
 def host_of(url: Column) -> Column:
     """Lower-case host of a plain http(s) URL; of others as browsers parse them."""
-    return F.when(is_plain(url), F.lower(_piece(url, 2))).otherwise(_host_udf(F.when(~is_plain(url), url)))
+    return F.coalesce(F.get(plain_parts(url), F.lit(1)), _host_udf(F.when(~is_plain(url), url)))
 
 
 def _host_of(raw: str) -> str | None:
@@ -94,9 +110,7 @@ _host_udf = arrow_text(_host_of)
 
 def url_parts(url: Column) -> Column:
     """``struct(scheme, host, port, path, query)`` of a plain URL; null parts otherwise."""
-    ok = is_plain(url)
-    part = lambda k: F.when(ok, _piece(url, k))
-    return F.struct(F.lower(part(1)).alias("scheme"), F.lower(part(2)).alias("host"), F.nullif(part(3), F.lit("")).alias("port"), F.when(ok & (part(4) == ""), "/").otherwise(part(4)).alias("path"), part(5).alias("query"))
+    return let(plain_parts(url), lambda p: F.struct(p[0].alias("scheme"), p[1].alias("host"), F.nullif(p[2], F.lit("")).alias("port"), F.when(p[3] == "", "/").otherwise(p[3]).alias("path"), p[4].alias("query")))
 
 
 def bare_host(host: Column) -> Column:
@@ -150,9 +164,12 @@ BLOCKED_ENDINGS = ("internal", "local", "localdomain", "localhost")
 def is_blocked_host(host: Column) -> Column:
     """Whether requests to ``host`` are refused as not public; an empty or null one is."""
     low = F.lower(F.trim(host))
-    bare = F.when(low.rlike(r"^\[.*\]$"), F.regexp_replace(low, r"^\[|\]$", "")).otherwise(low)
-    named = bare.isin(*BLOCKED_NAMES) | bare.rlike("[.](" + "|".join(BLOCKED_ENDINGS) + ")$") | bare.rlike("^[0-9]+$")
-    return F.coalesce((bare == "") | named | (is_ipv4(bare) & is_private_ipv4(bare)) | (is_ipv6(bare) & is_private_ipv6(bare)), F.lit(True))
+
+    def blocked(h: Column) -> Column:
+        named = (h == "") | h.isin(*BLOCKED_NAMES) | h.rlike("[.](" + "|".join(BLOCKED_ENDINGS) + ")$|^[0-9]+$")
+        return named | (is_ipv4(h) & is_private_ipv4(h)) | (is_ipv6(h) & is_private_ipv6(h))
+
+    return F.coalesce(let(F.regexp_replace(low, r"^\[(.*)\]$", "$1"), blocked), F.lit(True))
 
 
 def _is_safe(raw: str) -> bool:
@@ -184,7 +201,7 @@ _safe_udf = arrow_text(_is_safe, "boolean")
 def is_safe_http_url(url: Column) -> Column:
     """http(s), at most 2048 characters, no credentials, a public host."""
     plain = is_plain(url) & (F.length(url) <= 2048)
-    return F.coalesce(F.when(plain, ~is_blocked_host(_piece(url, 2))).otherwise(_safe_udf(F.when(~plain, url))), F.lit(False))
+    return F.coalesce(F.when(plain, ~is_blocked_host(F.get(plain_parts(url), F.lit(1)))).otherwise(_safe_udf(F.when(~plain, url))), F.lit(False))
 
 
 def user_agent_token(agent: Column) -> Column:

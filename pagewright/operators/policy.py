@@ -30,16 +30,14 @@ def with_url(df: DataFrame, column: str, name: str) -> DataFrame:
     Plain URLs are taken apart by SQL; the others go through the browser parser.
     """
     url = F.col(column)
-    plain = urls.is_plain(url)
-    scheme, host, path = F.lower(urls._piece(url, 1)), F.lower(urls._piece(url, 2)), urls._piece(url, 4)
-    raw = F.regexp_replace(urls._piece(url, 3), "^0+(?=[0-9])", "")
-    port = F.when(((scheme == "https") & (raw == "443")) | ((scheme == "http") & (raw == "80")), "").otherwise(raw)
     rest = F.regexp_extract(url, "^[^?#]*([?#].*)?$", 1)
-    slash = F.when(path == "", "/").otherwise(path)
-    href = F.concat(scheme, F.lit("://"), host, F.when(port != "", F.concat(F.lit(":"), port)).otherwise(""), slash, rest)
-    own = F.struct(scheme.alias("scheme"), F.lit(False).alias("login"), host.alias("host"), port.alias("port"), slash.alias("path"), href.alias("href"))
-    simple = plain & ~rest.rlike(r"[^\x21-\x7E]|[\"'<>`]")
-    return df.withColumn(name, F.when(simple, own).otherwise(_browser_parts(F.when(~F.coalesce(simple, F.lit(False)), url))))
+
+    def read(p: Column) -> Column:
+        slash = F.when(p[3] == "", "/").otherwise(p[3])
+        href = F.concat(p[0], F.lit("://"), p[1], F.when(p[2] == "", "").otherwise(F.concat(F.lit(":"), p[2])), slash, rest)
+        return F.struct(p[0].alias("scheme"), F.lit(False).alias("login"), p[1].alias("host"), p[2].alias("port"), slash.alias("path"), href.alias("href"))
+
+    return df.withColumn(name, F.coalesce(urls.let(urls.plain_parts(url), lambda p: F.when(p.isNotNull(), read(p))), _browser_parts(F.when(~urls.is_plain(url), url))))
 
 
 def _base_reason(base: Column) -> Column:
@@ -50,19 +48,24 @@ def target_gate(targets: DataFrame) -> DataFrame:
     """``targets (base_url, robots_policy, active, ...)`` with ``reject_reason``; null for a target that may be crawled."""
     df = with_url(targets, "base_url", "_base")
     policy = F.coalesce("robots_policy", F.lit("unknown"))
-    reason = F.when(~F.coalesce("active", F.lit(True)), "inactive").when(policy == "disallow", "robots_disallow").when(policy == "unknown", "robots_unknown").otherwise(_base_reason(F.col("_base")))
+    reason = F.when(~F.coalesce("active", F.lit(True)), "inactive").when(policy == "disallow", "robots_disallow").when(policy == "unknown", "robots_unknown").otherwise(urls.let(F.col("_base"), _base_reason))
     return df.withColumn("reject_reason", reason).drop("_base")
 
 
 def request_gate(requests: DataFrame, kind: str = "crawl") -> DataFrame:
     """``requests (base_url, url, ...)`` with ``reject_reason`` (null if allowed) and ``safe_url``, the normal form."""
     df = with_url(with_url(requests, "base_url", "_base"), "url", "_url")
-    b, u = F.col("_base"), F.col("_url")
-    reason = (
-        F.coalesce(_base_reason(b), F.when(u.isNull(), f"invalid_{kind}_url").when(u["scheme"] != "https", "not_https").when(u["login"], "credentialed").when(urls.is_blocked_host(u["host"]), "not_public")
-        .when(~urls.hosts_match(u["host"], b["host"]), "off_domain").when(u["port"] != b["port"], "cross_port"))
-    )
-    return df.withColumn("reject_reason", reason).withColumn("safe_url", F.when(F.col("reject_reason").isNull(), u["href"])).drop("_base", "_url")
+
+    def reason(x: Column) -> Column:
+        b, u = x["b"], x["u"]
+        own = (
+            F.when(u.isNull(), f"invalid_{kind}_url").when(u["scheme"] != "https", "not_https").when(u["login"], "credentialed").when(urls.is_blocked_host(u["host"]), "not_public")
+            .when(~urls.hosts_match(u["host"], b["host"]), "off_domain").when(u["port"] != b["port"], "cross_port")
+        )
+        return F.coalesce(_base_reason(b), own)
+
+    df = df.withColumn("_x", F.struct(F.col("_base").alias("b"), F.col("_url").alias("u"))).withColumn("reject_reason", urls.let(F.col("_x"), reason))
+    return df.withColumn("safe_url", F.when(F.col("reject_reason").isNull(), F.col("_url.href"))).drop("_base", "_url", "_x")
 
 
 def public_hosts(dns: DataFrame) -> DataFrame:
