@@ -189,5 +189,6 @@ def retry_after_ms(value: Column, now_ms: Column) -> Column:
     """Milliseconds to wait by a Retry-After header: seconds or an HTTP date, five minutes at most; null if neither."""
     secs = trim(value).try_cast("double")
     at = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(trim(value), "^[A-Za-z]+, *", ""), " *GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    wait = F.greatest(F.lit(0.0), F.unix_millis(at) - now_ms)
-    return F.least(F.when(secs >= 0, secs * 1000).otherwise(wait), F.lit(300_000.0)).cast("long")
+    wait = F.when(at.isNotNull(), F.greatest(F.lit(0.0), F.unix_millis(at) - now_ms))
+    found = F.when(secs >= 0, secs * 1000).otherwise(wait)
+    return F.when(found.isNotNull(), F.least(found, F.lit(300_000.0))).cast("long")
