@@ -93,7 +93,7 @@ def merge(rows: DataFrame, p: UrlParams, levels: int) -> DataFrame:
         now = rows.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
         now = now.filter(F.size("template") > d).withColumn("seg", F.get("template", F.lit(d))).withColumn("rest", F.array_join(_set("template", d, F.lit("\t")), "/"))
         pool = now.groupBy("host", "rest").agg(F.sum("labelled").alias("all_labelled"), F.sum("good").alias("all_good"))
-        share = F.col("all_good") / F.col("all_labelled")
+        share = F.try_divide("all_good", "all_labelled")
         off = F.col("good") - F.col("labelled") * share
         like = (F.col("labelled") == 0) | (off * off <= p.z * p.z * F.greatest(F.col("labelled") * share * (1 - share), F.lit(0.25)))
         alike = now.join(pool, ["host", "rest"]).filter(like)
@@ -124,7 +124,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, params: UrlParams = UrlPara
     rows = generalise(rows, p, levels)
     known = merge(rows.groupBy("host", "cur").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "good"))), p, levels)
     s = p.strength
-    total = known.agg((F.sum("good") / F.sum("labelled")).alias("overall"))
+    total = known.agg(F.try_divide(F.sum("good"), F.sum("labelled")).alias("overall"))
     hosts = known.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("good").alias("g")).crossJoin(F.broadcast(total)).select("host", ((F.col("g") + F.col("overall") * s) / (F.col("l") + s)).alias("prior"))
     stats = known.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good")).join(hosts, "host")
     stats = stats.select("host", "template", "labelled", F.round((F.col("good") + F.col("prior") * s) / (F.col("labelled") + s), 6).alias("purity"))
