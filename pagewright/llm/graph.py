@@ -1,4 +1,9 @@
-"""Connected components of an edge list by label propagation with pointer jumping."""
+"""Connected components of an edge list by contraction.
+
+Each partition first reduces its edges to a spanning forest. While many edges are left, every node hooks to its
+least neighbour and the edges between the hooks are what the next round works on, which is a fraction of
+them; what is left in the end is one union-find in one task.
+"""
 
 from __future__ import annotations
 
@@ -35,21 +40,36 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64())], ["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least id of each node's tree, for all edges of the one partition."""
+    own: dict[int, int] = {}
+    for batch in _forest(batches):
+        for root, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own[x] = own[root] = root
+    rows = list(own.items())
+    for lo in range(0, len(rows), 50_000):
+        part = rows[lo : lo + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64())], ["id", "comp"])
+
+
+def components(edges: DataFrame, few: int = 300_000) -> DataFrame:
     """``(id, comp)`` for every end of ``edges (a, b)``; ``comp`` is the least id of the component.
 
-    Each partition first reduces its edges to a spanning forest. Then labels go to neighbours and on to
-    the label's own label until none changes; every round is written to the shared folder. Loops and
-    repeated edges change nothing, edges with a null end are ignored, no edges give no rows.
+    Up to ``few`` edges are finished in one task; more are contracted first, so neither memory nor the number of
+    rounds follows the length of chains. Every round is written to the shared folder. Loops and repeated
+    edges change nothing, edges with a null end are ignored, no edges give no rows.
     """
     thin = cut(edges.filter("a is not null and b is not null and a <> b").select("a", "b").mapInArrow(_forest, "a long, b long"))
-    both = thin.union(thin.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    label = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("comp")))
-    while True:
-        near = both.join(label.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        low = label.join(near, "id").select("id", "comp", F.least("comp", "near").alias("low"))
-        jump = label.select(F.col("id").alias("low"), F.col("comp").alias("next"))
-        step = cut(low.join(jump, "low").select("id", F.col("comp").alias("was"), F.least("low", "next").alias("comp")))
-        label = step.select("id", "comp")
-        if step.filter("comp <> was").isEmpty():
-            return label
+    layers: list[DataFrame] = []
+    while thin.count() > few:
+        both = thin.union(thin.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("up")))
+        layers.append(hook)
+        ends = lambda c: hook.select(F.col("id").alias(c), F.col("up").alias(f"up_{c}"))  # noqa: B023, E731
+        moved = thin.join(ends("a"), "a").join(ends("b"), "b").select(F.col("up_a").alias("a"), F.col("up_b").alias("b"))
+        thin = cut(moved.filter("a <> b").distinct().mapInArrow(_forest, "a long, b long"))
+    top = cut(thin.coalesce(1).mapInArrow(_labels, "id long, comp long"))
+    for hook in reversed(layers):
+        known = top.select(F.col("id").alias("up"), "comp")
+        top = cut(hook.join(known, "up", "left").select("id", F.coalesce("comp", "up").alias("comp")))
+    return top

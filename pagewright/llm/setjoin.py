@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, broadcast_ids, mix
+from .common import U64, broadcast_ids, cut, mix
 
 #: Pairs that one numpy step expands.
 _STEP_PAIRS = 1 << 20
@@ -26,6 +26,17 @@ def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return k1.view(np.int64), k2.view(np.int64)
 
 
+def without_copies(rows: DataFrame, keys: list[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` without those that equal one of a lower ``key`` in ``keys``, and the pairs ``(lead, key, *keys)`` left out.
+
+    Only the key columns are shuffled; repeated rows of one ``key`` all stay.
+    """
+    narrow = rows.select(*keys, key)
+    same = narrow.groupBy(*keys).agg(F.min(key).alias("lead"))
+    copies = cut(narrow.join(same, keys).filter(F.col(key) > F.col("lead")).distinct())
+    return rows.join(broadcast_ids(copies.select(*keys, key)), [*keys, key], "left_anti"), copies
+
+
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
     """Column arrays of the stream cut so that rows equal in the first ``keys`` columns stay together."""
     kept: list[list[np.ndarray]] = []
@@ -60,13 +71,11 @@ def count_pairs(posts: DataFrame, t: float, most: int | None = None) -> DataFram
 
     This is the product of the incidence matrix with its transpose, a block of columns a task. A pair is
     formed only where the sizes allow Jaccard ``t``; columns of more than ``most`` documents are left
-    out (the caller accounts for them). Columns stream in by hash, documents within one by size. Where
-    posts have a flag ``home``, a pair counts only where one of the two is at home.
+    out (the caller accounts for them). Columns stream in by hash, documents within one by size.
     """
-    flagged = "home" in posts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, ids, size, *home in _runs(batches, 1):
+        for h, ids, size in _runs(batches, 1):
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             df = np.diff(np.append(start, len(h)))
             use = df > 1
@@ -76,7 +85,7 @@ def count_pairs(posts: DataFrame, t: float, most: int | None = None) -> DataFram
             if not keep.any():
                 continue
             col = np.repeat(np.arange(int(use.sum())), df[use])
-            ids, size, home = ids[keep], size[keep].astype(np.int64), [x[keep] for x in home]
+            ids, size = ids[keep], size[keep].astype(np.int64)
             scale = int(size.max() / t) + 2
             end = np.searchsorted(col * scale + size, col * scale + np.floor(size / t + 1e-9).astype(np.int64), side="right")
             n = np.maximum(end - np.arange(len(ids)) - 1, 0)
@@ -90,9 +99,6 @@ def count_pairs(posts: DataFrame, t: float, most: int | None = None) -> DataFram
                 part = n[lo:hi]
                 i = np.repeat(np.arange(lo, hi), part)
                 j = i + 1 + np.arange(len(i)) - np.repeat(total[lo:hi] - total[lo], part)
-                if flagged:
-                    met = home[0][i] | home[0][j]
-                    i, j = i[met], j[met]
                 x, y = dense[i], dense[j]
                 key, k = np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y), return_counts=True)
                 keys.append(key)
@@ -107,7 +113,7 @@ def count_pairs(posts: DataFrame, t: float, most: int | None = None) -> DataFram
                 s = slice(lo, lo + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(names[a[s]]), pa.array(names[b[s]]), pa.array(sizes[a[s]]), pa.array(sizes[b[s]]), pa.array(k[s])], ["a", "b", "size_a", "size_b", "n"])
 
-    sorted_posts = posts.select("h", "id", F.col("size").cast("long").alias("size"), *(["home"] if flagged else [])).repartition("h").sortWithinPartitions("h", "size", "id")
+    sorted_posts = posts.select("h", "id", F.col("size").cast("long").alias("size")).repartition("h").sortWithinPartitions("h", "size", "id")
     parts = sorted_posts.mapInArrow(run, "a long, b long, size_a long, size_b long, n long")
     return parts.groupBy("a", "b").agg(F.min("size_a").alias("size_a"), F.min("size_b").alias("size_b"), F.sum("n").alias("n"))
 

@@ -1,17 +1,16 @@
 """Operator 9, document fingerprints: SpotSigs.
 
 A spot signature is a common word (the anchor) with the chain of content words that follow it; a document
-is the set of its signatures. Documents are partitioned by the length of their sets, so that one meets only
-its own and the next longer partition. In a partition an inverted index holds each document's rarest
-signatures, as many as Jaccard ``threshold`` needs: signatures are ordered by rarity (those of more than
-``hot`` documents come last, the most frequent at the very end), and pairs are pruned by the sizes and by
-how much overlap the rest of the two sets can still add. Nothing that reaches the threshold is lost. What is
+is the set of its signatures. An inverted index holds each document's rarest signatures, as many as Jaccard
+``threshold`` needs: signatures are ordered by rarity (those of more than ``hot`` documents come last, the most
+frequent at the very end). Each signature's list is partitioned by the length of the sets, and a document
+meets only the partitions that its own length allows; pairs are then pruned by how much overlap the rest of
+the two sets can still add. Nothing that reaches the threshold is lost. What is
 left is compared exactly, with whole sets, within its components.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, broadcast_ids, cut, list_column, mix, text_steps
+from .common import broadcast_ids, cut, list_column, mix, text_steps
 from .graph import components
-from .setjoin import count_pairs, exact_pairs, product_groups, set_keys
+from .setjoin import count_pairs, exact_pairs, product_groups, set_keys, without_copies
 from .words import _PLACE, word_hashes
 
 ANCHORS = "a an the is are was to der die das ist ein eine zu le la les est un une el los las es una que".split()
@@ -97,13 +96,13 @@ def _need(size: np.ndarray | int, t: float):
 
 
 def index(lead: DataFrame, p: SpotParams) -> DataFrame:
-    """Postings ``(h, id, size, home)``: ``h`` stands for a signature in a partition of set lengths."""
+    """Postings ``(h, id, size)`` of each document's rarest signatures."""
     counts = lead.select(F.explode("sigs").alias("s")).groupBy("s").count().filter(F.col("count") > p.hot)
     top = counts.orderBy(F.desc("count"), "s").limit(p.hot_most).toPandas()
     order = np.argsort(top["s"].to_numpy(np.int64).view(np.uint64)) if len(top) else np.zeros(0, np.int64)
     known = top["s"].to_numpy(np.int64).view(np.uint64)[order] if len(top) else np.zeros(0, np.uint64)
     shared = lead.sparkSession.sparkContext.broadcast((known, top["count"].to_numpy(np.int64)[order] if len(top) else order))
-    t, step = p.threshold, math.log(1 / p.threshold)
+    t = p.threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, freq = shared.value
@@ -118,14 +117,11 @@ def index(lead: DataFrame, p: SpotParams) -> DataFrame:
             by = np.lexsort((flat, rank, doc))
             place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
             keep = by[place < (size - _need(size, t) + 1)[doc]]
-            part = np.floor(np.log(size) / step + 1e-9).astype(np.int64)
-            for up in (0, 1):
-                for lo in range(0, len(keep), 200_000):
-                    k = keep[lo : lo + 200_000]
-                    h = mix(flat[k] + (part[doc[k]] + up).astype(np.uint64) * U64(0x9E3779B97F4A7C15)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[doc[k]]), pa.array(size[doc[k]]), pa.array(np.full(len(k), not up))], ["h", "id", "size", "home"])
+            for lo in range(0, len(keep), 200_000):
+                k = keep[lo : lo + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(flat[k].view(np.int64)), pa.array(ids[doc[k]]), pa.array(size[doc[k]])], ["h", "id", "size"])
 
-    return lead.select("id", "size", "sigs").mapInArrow(run, "h long, id long, size long, home boolean")
+    return lead.select("id", "size", "sigs").mapInArrow(run, "h long, id long, size long")
 
 
 def similar_documents(docs: DataFrame, params: SpotParams = SpotParams()) -> DataFrame:
@@ -139,10 +135,10 @@ def similar_documents(docs: DataFrame, params: SpotParams = SpotParams()) -> Dat
     """
     p, t = params, params.threshold
     rows = cut(fingerprints(docs.select("doc_id", "text"), p))
-    same = rows.groupBy("k1", "k2", "size").agg(F.min("doc_id").alias("id"))
+    leads, same = without_copies(rows, ["k1", "k2", "size"], "doc_id")
+    lead = leads.select(F.col("doc_id").alias("id"), "size", "sigs")
     size = F.col("size").cast("long")
-    copies = rows.join(same, ["k1", "k2", "size"]).filter(F.col("doc_id") > F.col("id")).select(F.col("id").alias("doc_a"), F.col("doc_id").alias("doc_b"), size.alias("size_a"), size.alias("size_b"), size.alias("overlap"), F.lit(1.0).alias("jaccard")).distinct()
-    lead = cut(rows.groupBy("k1", "k2", "size").agg(F.min_by("sigs", "doc_id").alias("sigs"), F.min("doc_id").alias("id")).select("id", "size", "sigs"))
+    copies = same.select(F.col("lead").alias("doc_a"), F.col("doc_id").alias("doc_b"), size.alias("size_a"), size.alias("size_b"), size.alias("overlap"), F.lit(1.0).alias("jaccard"))
     met = count_pairs(index(lead, p), t)
     rest = F.ceil(F.greatest("size_a", "size_b") * t - 1e-9) - 1  # what lies outside the index, of the longer set
     found = met.filter(F.col("n") + rest >= (F.col("size_a") + F.col("size_b")) * (t / (1 + t)) - 1e-9)
