@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import U64, broadcast_ids, cut, list_column, mix, text_steps
 from .graph import components
 from .ngram_join import JoinParams, candidates
-from .setjoin import _runs, product_groups
+from .setjoin import _runs, product_groups, without_copies
 from .words import word_hashes
 
 #: ``(kind, first pitch class, pitch classes, frames)`` of each filter.
@@ -109,7 +109,7 @@ def text_decoder(column: pa.Array, p: ChromaParams) -> Iterator[tuple[int, int,
     """A column of lower-cased texts played note by note, each note as long as a hop."""
     t = np.arange(p.hop) / p.rate
     waves = np.sin(2 * np.pi * 1760 * 2 ** (np.arange(12)[:, None] / 12) * t)
-    for lo, hi, data, offs in text_steps(column, 1 << 18):
+    for lo, hi, data, offs in text_steps(column, 1 << 16):
         loud, bounds = notes(data, offs)
         yield lo, hi, (loud @ waves).ravel(), bounds * p.hop
 
@@ -242,28 +242,40 @@ def align(ids: np.ndarray, own: list[np.ndarray], mute: list[np.ndarray], block:
     by = np.lexsort((doc, value))
     value, place, doc = value[by], place[by], doc[by]
     left = np.searchsorted(value, value, side="right") - np.arange(len(value)) - 1  # partners that come after
-    total = np.concatenate([[0], np.cumsum(left)])
-    far = int(lens.max()) + 1
-    lo, keys, counts = 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    while lo < len(value):
-        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 20), side="right")) - 1)
-        i = np.repeat(np.arange(lo, hi), left[lo:hi])
-        j = i + 1 + np.arange(len(i)) - np.repeat(total[lo:hi] - total[lo], left[lo:hi])
+    own_posts = np.argsort(doc, kind="stable")
+    bounds = np.searchsorted(doc[own_posts], np.arange(len(own) + 1))
+    work = np.concatenate([[0], np.cumsum(left[own_posts])])[bounds]
+    out = [[np.zeros(0, np.int64)] * 5]
+    lo = 0
+    while lo < len(own):  # a strip of recordings with all their partners: what is held follows the strip
+        hi = max(lo + 1, int(np.searchsorted(work, work[lo] + _STRIP, side="right")) - 1)
+        post = own_posts[bounds[lo] : bounds[hi]]
+        n = left[post]
+        i = np.repeat(post, n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
         x, y = doc[i], doc[j]
         fit = np.minimum(lens[x], lens[y]) >= p.cover * np.maximum(lens[x], lens[y]) - 1e-9
-        fit &= one | (block[x] != block[y])
-        key, k = np.unique(((x * len(own) + y) * (2 * far) + place[j] - place[i] + far)[fit], return_counts=True)
-        keys.append(key)
-        counts.append(k)
+        if not one:
+            fit &= block[x] != block[y]
+        out.append(_judged(x[fit], y[fit], (place[j] - place[i])[fit], ids, lens, starts, flat, p))
         lo = hi
-    key, back = np.unique(np.concatenate(keys), return_inverse=True)
-    if not len(key):
+    return [np.concatenate(c) for c in zip(*out)]
+
+
+#: Shared fingerprints that a step of :func:`align` looks at.
+_STRIP = 1 << 17
+
+
+def _judged(x: np.ndarray, y: np.ndarray, off: np.ndarray, ids: np.ndarray, lens: np.ndarray, starts: np.ndarray, flat: np.ndarray, p: ChromaParams) -> list[np.ndarray]:
+    """The pairs ``x, y`` that match at the most frequent of their offsets ``off``."""
+    if not len(x):
         return [np.zeros(0, np.int64)] * 5
-    n = np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
+    far = int(lens.max()) + 1
+    key, n = np.unique((x * len(lens) + y) * (2 * far) + off + far, return_counts=True)
     pair, off = key // (2 * far), key % (2 * far) - far
     by = np.lexsort((off, np.abs(off), -n, pair))
     by = by[np.concatenate([[True], pair[by][1:] != pair[by][:-1]])]
-    x, y, off = pair[by] // len(own), pair[by] % len(own), off[by]
+    x, y, off = pair[by] // len(lens), pair[by] % len(lens), off[by]
     a0 = np.maximum(0, -off)
     overlap = np.minimum(lens[x], lens[y] - off) - a0
     ok = (overlap >= p.cover * np.maximum(lens[x], lens[y]) - 1e-9) & (ids[x] != ids[y])
@@ -272,7 +284,7 @@ def align(ids: np.ndarray, own: list[np.ndarray], mute: list[np.ndarray], block:
     sums = np.concatenate([[0], np.cumsum(overlap)])
     lo = 0
     while lo < len(x):
-        hi = max(lo + 1, int(np.searchsorted(sums, sums[lo] + (1 << 20), side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(sums, sums[lo] + _STRIP, side="right")) - 1)
         part = overlap[lo:hi]
         step = np.arange(sums[hi] - sums[lo]) - np.repeat(sums[lo:hi] - sums[lo], part)
         i = np.repeat(starts[x[lo:hi]] + a0[lo:hi], part) + step
@@ -315,10 +327,8 @@ def match_recordings(media: DataFrame, decoder: Decoder, params: ChromaParams =
     """
     p = params
     rows = cut(fingerprints(media, decoder, p))
-    same = rows.groupBy("k1", "k2", "frames").agg(F.min("id").alias("lead"))
-    frames = F.col("frames").cast("long")
-    copies = rows.join(same, ["k1", "k2", "frames"]).filter(F.col("id") > F.col("lead")).select(F.col("lead").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(0).cast("long").alias("offset"), frames.alias("overlap"), F.lit(0).cast("long").alias("errors")).distinct()
-    lead = cut(rows.groupBy("k1", "k2", "frames").agg(F.min_by(F.struct("id", "size", "cols", "prints", "silent"), "id").alias("x")).select("frames", "x.*"))
+    lead, same = without_copies(rows, ["k1", "k2", "frames"], "id")
+    copies = same.select(F.col("lead").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(0).cast("long").alias("offset"), F.col("frames").cast("long").alias("overlap"), F.lit(0).cast("long").alias("errors"))
     comp = components(candidates(lead.select("id", "size", "cols"), p.search))
     places = cut(product_groups(comp.join(lead.groupBy("id").agg(F.max("frames").alias("size")), "id"), p.cover, p.block))
     placed = lead.select("id", "prints", "silent").join(broadcast_ids(places), "id").select("id", "prints", "silent", F.explode("places").alias("p")).select("p.comp", "p.i", "p.j", "p.block", "id", "prints", "silent")
