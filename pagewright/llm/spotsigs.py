@@ -40,7 +40,7 @@ class SpotParams:
     threshold: float = 0.5
     chain: int = 2
     distance: int = 1
-    hot: int = 64
+    hot: int = 4
     hot_most: int = 300_000
     block: int = 512
 
