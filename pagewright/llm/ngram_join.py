@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_ids, cut, list_column, text_steps
 from .graph import components
-from .setjoin import count_pairs, exact_pairs, product_groups, set_keys
+from .setjoin import count_pairs, exact_pairs, product_groups, set_keys, without_copies
 from .words import ngram_sets
 
 import numpy as np
@@ -114,9 +114,10 @@ def join_documents(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFr
     p = params
     base = docs.select("doc_id", "text")
     rows = cut(sketch(base, p))
-    same = rows.groupBy("k1", "k2", "size").agg(F.min("doc_id").alias("id"))
-    copies = rows.join(same, ["k1", "k2", "size"]).filter(F.col("doc_id") > F.col("id")).select(F.col("id").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("size").cast("long").alias("size_a"), F.col("size").cast("long").alias("size_b"), F.col("size").cast("long").alias("overlap"), F.lit(1.0).alias("jaccard")).distinct()
-    lead = cut(rows.groupBy("k1", "k2", "size").agg(F.min_by("cols", "doc_id").alias("cols"), F.min("doc_id").alias("id")).select("id", "size", "cols"))
+    leads, same = without_copies(rows, ["k1", "k2", "size"], "doc_id")
+    lead = leads.select(F.col("doc_id").alias("id"), "size", "cols")
+    size = F.col("size").cast("long")
+    copies = same.select(F.col("lead").alias("doc_a"), F.col("doc_id").alias("doc_b"), size.alias("size_a"), size.alias("size_b"), size.alias("overlap"), F.lit(1.0).alias("jaccard"))
     comp = components(candidates(lead, p))
     members = comp.join(lead.groupBy("id").agg(F.max("size").alias("size")), "id")
     places = cut(product_groups(members, p.threshold, p.block))
