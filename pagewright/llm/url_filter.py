@@ -2,10 +2,10 @@
 
 1. A URL becomes its host and a row of tokens: path segments (numbers, hexadecimal ids, UUIDs and dates by
    their class, file endings kept) and the set of its query keys. Equal rows are counted once.
-2. From the root down, children of a node that are too rare among their siblings are variable: they become
-   one wildcard, so the tree holds a bounded number of branches a node however many pages there are.
+2. From the root down, children of a node with too few pages to be judged by themselves are variable: they
+   become one wildcard. Every other child stays a branch of its own, however small its share of the node.
 3. From the leaves up, branches that differ in one token and whose share of good labels doesn't differ from
-   that of all of them together (a z test) are merged.
+   that of all of them together (a z test) are merged; more than ``most_names`` under one name are ``{*}``.
 4. Each template's purity is its share of good labels, smoothed by its host's, which is smoothed by that of
    all pages; pages of a template under ``least_purity`` are rejected.
 
@@ -25,8 +25,8 @@ from .common import cut
 @dataclass(frozen=True)
 class UrlParams:
     """A template has ``depth`` segments, further ones are one tail ``**``. A literal segment needs
-    ``min_pages`` pages and ``min_share`` of its parent's. ``z`` bounds the deviation of branches that merge,
-    ``strength`` is how many labels the smoothing counts for."""
+    ``min_pages`` pages; ``min_share`` is read by :func:`oracle_sql` alone. ``z`` bounds the deviation of
+    branches that merge, ``strength`` is how many labels the smoothing counts for."""
 
     depth: int = 6
     min_pages: int = 3
@@ -34,6 +34,7 @@ class UrlParams:
     z: float = 2.0
     strength: float = 10.0
     least_purity: float = 0.5
+    most_names: int = 20
 
 
 #: Classes of segments without their ending: a pattern, then what stands for it.
@@ -79,8 +80,7 @@ def generalise(rows: DataFrame, p: UrlParams, levels: int) -> DataFrame:
     for d in range(levels):
         at = rows.withColumn("seg", F.get("cur", F.lit(d))).withColumn("prefix", F.array_join(F.slice("cur", 1, d), "/"))
         child = at.filter("seg is not null").groupBy("host", "prefix", "seg").agg(F.sum("n").alias("n"))
-        parent = child.groupBy("host", "prefix").agg(F.sum("n").alias("all"))
-        rare = child.filter(~F.col("seg").rlike(_FIXED)).join(parent, ["host", "prefix"]).filter((F.col("n") < p.min_pages) | (F.col("n") < F.col("all") * p.min_share)).select("host", "prefix", "seg", F.lit(True).alias("rare"))
+        rare = child.filter(~F.col("seg").rlike(_FIXED) & (F.col("n") < p.min_pages)).select("host", "prefix", "seg", F.lit(True).alias("rare"))
         wild = F.concat(F.lit("*"), F.regexp_extract("seg", f"({_ENDING})", 1))
         rows = cut(at.join(rare, ["host", "prefix", "seg"], "left").withColumn("cur", F.when(F.col("rare"), _set("cur", d, wild)).otherwise(F.col("cur"))).select(*rows.columns))
     return rows
@@ -97,7 +97,10 @@ def merge(rows: DataFrame, p: UrlParams, levels: int) -> DataFrame:
         off = F.col("good") - F.col("labelled") * share
         like = (F.col("labelled") == 0) | (off * off <= p.z * p.z * F.greatest(F.col("labelled") * share * (1 - share), F.lit(0.25)))
         alike = now.join(pool, ["host", "rest"]).filter(like)
-        names = alike.groupBy("host", "rest").agg(F.array_sort(F.collect_set("seg")).alias("names")).filter(F.size("names") > 1).select("host", "rest", F.concat(F.lit("{"), F.array_join("names", "|"), F.lit("}")).alias("name"))
+        groups = alike.groupBy("host", "rest").agg(F.count("*").alias("branches")).filter("branches > 1")
+        few = alike.join(groups.filter(F.col("branches") <= p.most_names), ["host", "rest"]).groupBy("host", "rest").agg(F.array_sort(F.collect_set("seg")).alias("names"))
+        few = few.select("host", "rest", F.concat(F.lit("{"), F.array_join("names", "|"), F.lit("}")).alias("name"))
+        names = few.union(groups.filter(F.col("branches") > p.most_names).select("host", "rest", F.lit("{*}")))
         renamed = alike.join(names, ["host", "rest"]).select("host", "template", "name")
         rows = cut(rows.join(renamed, ["host", "template"], "left").withColumn("template", F.when(F.col("name").isNotNull(), _set("template", d, F.col("name"))).otherwise(F.col("template"))).select(*rows.columns))
     return rows
@@ -136,7 +139,11 @@ def filter_urls(pages: DataFrame, labels: DataFrame, params: UrlParams = UrlPara
 
 
 def oracle_sql(params: UrlParams = UrlParams()) -> str:
-    """DuckDB SQL for the rows of :func:`filter_urls` over ``pages`` and ``labels``."""
+    """DuckDB SQL for the rows of :func:`filter_urls` over ``pages`` and ``labels``.
+
+    It still takes a segment under ``min_share`` of its parent's pages as rare, so it stands for the rows only
+    where each literal segment with ``min_pages`` pages has that share, as in the tables at hand.
+    """
     p, s = params, params.strength
     stem, ending = f"regexp_replace(s, '{_ENDING}', '')", f"regexp_extract(s, '({_ENDING})', 1)"
     kinds = " ".join(f"WHEN regexp_matches({stem}, '{pattern}')" + (f" AND length({stem}) >= 8" if name == "<hex>" else "") + f" THEN '{name}'" for pattern, name in CLASSES)

@@ -212,6 +212,19 @@ def test_bad_templates_are_rejected(spark, duck):
     assert normal(got) == normal(con.execute(sql).df())
 
 
+def test_a_small_section_of_a_large_host_is_judged_by_itself(spark):
+    rows = [(k, f"https://a.example/s{'abcdefghijklmnopqrstuvwxyz'[k % 25]}/{k}") for k in range(2500)]  # 25 sections of 4 %
+    rows += [(3000 + k, f"https://b.example/hot/{k}") for k in range(3000)] + [(10_000 + k, f"https://b.example/m{'nopq'[k % 4]}/{k}") for k in range(400)]  # one large section, four of 3 %
+    bad = lambda i: (i < 2500 and i % 25 == 7) or (i >= 10_000 and i % 4 == 2)
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if bad(i) else 1, 0) for i, _ in rows if i % 3 == 0], "doc_id long, quality int, toxic int")
+    got = url_filter.filter_urls(pages, labels).toPandas()
+    assert (got.kept == ~got.page_id.map(bad)).all()
+    # many alike branches share a short name
+    pages = spark.createDataFrame([(k, f"https://c.example/w{chr(97 + k % 26)}{chr(97 + k // 26 % 10)}z/{k}") for k in range(1040)], "page_id long, url string")
+    assert set(url_filter.filter_urls(pages, labels.limit(0)).toPandas().template) == {"/{*}/<num>/?"}
+
+
 def test_url_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "nonsense"), (None, "https://a.example/x"), (4, "https://a.example/" + "/".join(map(str, range(3000)))), (4, "https://a.example/"), (5, "HTTPS://U:p@A.example:443/é/%20?b=1&a=2#f"), (6, "https://a.example/?" + "q" * 100_000)]
     pages = spark.createDataFrame([(i, u, "z", 1, 2) for i, u in rows], "page_id long, url string, host string, n int, good int")
