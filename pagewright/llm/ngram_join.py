@@ -135,6 +135,24 @@ def expand_copies(pairs: DataFrame) -> DataFrame:
     return near.union(own).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard").filter("doc_a <> doc_b").distinct()
 
 
+def all_pairs(pairs: DataFrame) -> DataFrame:
+    """Every similar pair of documents, with the columns of ``pairs``, the rows of :func:`join_documents` or of
+    ``spotsigs.similar_documents``: each document of a group of equal sets stands with all that its lead stands with."""
+    rows = cut(pairs)
+    equal = (F.col("size_a") == F.col("overlap")) & (F.col("size_b") == F.col("overlap"))
+    star = rows.filter(equal).select(F.col("doc_a").alias("lead"), "size_a", F.col("doc_b").alias("doc"))
+    group = cut(star.union(star.select("lead", "size_a", F.col("lead").alias("doc"))).distinct())
+    x, y = group.select(F.col("lead").alias("doc_a"), "size_a", F.col("doc").alias("x")), group.select(F.col("lead").alias("doc_b"), F.col("size_a").alias("size_b"), F.col("doc").alias("y"))
+    near = rows.filter(~equal).join(x, ["doc_a", "size_a"], "left").join(y, ["doc_b", "size_b"], "left")
+    near = near.select(F.coalesce("x", "doc_a").alias("x"), F.coalesce("y", "doc_b").alias("y"), "size_a", "size_b", "overlap", "jaccard")
+    own = x.join(y.withColumnsRenamed({"doc_b": "doc_a", "size_b": "size_a"}), ["doc_a", "size_a"]).filter("x < y")
+    every = near.union(own.select("x", "y", "size_a", F.col("size_a"), F.col("size_a").alias("overlap"), F.lit(1.0).alias("jaccard"))).filter("x <> y")
+    turned = F.col("x") > F.col("y")
+    pick = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a))
+    every = every.select(pick("x", "y").alias("doc_a"), pick("y", "x").alias("doc_b"), pick("size_a", "size_b").alias("size_a"), pick("size_b", "size_a").alias("size_b"), "overlap", "jaccard")
+    return every.groupBy("doc_a", "doc_b").agg(F.max_by(F.struct("size_a", "size_b", "overlap", "jaccard"), "jaccard").alias("p")).select("doc_a", "doc_b", "p.*")
+
+
 def keep_one(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """``docs`` with one document of each group of linked documents, the lowest doc_id; all columns as they were.
 

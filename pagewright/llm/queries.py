@@ -58,6 +58,12 @@ UNION ALL
 SELECT DISTINCT l.id, s.doc_id, len(s.g), len(s.g), len(s.g), 1.0::DOUBLE FROM sets s JOIN lead l ON s.g = l.g WHERE s.doc_id > l.id
 """
 
+
+def op3_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``op3_ngram_jaccard_join`` with every copy written out."""
+    return ngram_join.all_pairs(op3_ngram_jaccard_join(spark, sf_dir))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(read(spark, sf_dir, "documents"))
 
@@ -66,6 +72,11 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.similar_documents(read(spark, sf_dir, "documents"))
 
 
+def op9_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``op9_spotsigs`` with every copy written out."""
+    return ngram_join.all_pairs(op9_spotsigs(spark, sf_dir))
+
+
 def _spot_sql() -> str:
     words = lambda ws: ", ".join(f"'{w}'" for w in dict.fromkeys(ws))
     return rf"""
@@ -128,11 +139,21 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_spotsigs": op9_spotsigs,
     "op10_quality_classifier": op10_quality_classifier,
+    "op3_all_pairs": op3_all_pairs,
+    "op9_all_pairs": op9_all_pairs,
 }
 
+
+def _over_all(sql: str, lead: str) -> str:
+    """The SQL of a join over all documents, in place of over the leads."""
+    return sql.replace(f"FROM {lead})", "FROM (SELECT doc_id AS id, g FROM sets))").split("UNION ALL")[0]
+
+
 ORACLE_SQL: dict[str, str] = {
     "op9_spotsigs": _spot_sql().replace("\\\\x", "\\x"),
     "op7_url_filter": url_filter.oracle_sql(),
     "op8_sharding": _OP8_SQL,
     "op3_ngram_jaccard_join": _OP3_SQL.replace("\\\\x", "\\x"),
 }
+ORACLE_SQL["op3_all_pairs"] = _over_all(ORACLE_SQL["op3_ngram_jaccard_join"], "lead")
+ORACLE_SQL["op9_all_pairs"] = _over_all(ORACLE_SQL["op9_spotsigs"], "lead_")

@@ -99,6 +99,23 @@ def test_queries_match_sql(spark, sf, duck, name):
     assert normal(queries.QUERIES[name](spark, sf).toPandas()) == normal(duck.execute(queries.ORACLE_SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", ["op3_all_pairs", "op9_all_pairs"])
+def test_all_pairs_match_sql_over_all_documents(spark, sf, duck, name):
+    assert normal(queries.QUERIES[name](spark, sf).toPandas()) == normal(duck.execute(queries.ORACLE_SQL[name]).df())
+
+
+def test_all_pairs_of_copies_and_near_copies(spark):
+    base = prose(8, 150, 900)
+    near = edited(base, 3, 0.02)
+    rows = [(k, (base, near, base + " more", prose(9, 90))[k % 4]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for pairs, sets, t in ((ngram_join.join_documents(docs), grams, 0.6), (spotsigs.similar_documents(docs), spots, 0.5)):
+        got = ngram_join.all_pairs(pairs).collect()
+        own = {i: sets(x) for i, x in rows}
+        assert len(got) == 480 and {(r.doc_a, r.doc_b): r.jaccard for r in got} == pytest.approx(brute(rows, sets, t))
+        assert all((r.size_a, r.size_b, r.overlap) == (len(own[r.doc_a]), len(own[r.doc_b]), len(own[r.doc_a] & own[r.doc_b])) for r in got)
+
+
 def test_keep_one_keeps_one_of_each_group(spark):
     rows, docs = corpus(spark)
     wide = docs.withColumn("comp", F.lit("x")).withColumn("id", F.lit(1))
