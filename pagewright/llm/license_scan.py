@@ -1,20 +1,22 @@
 """Operator 2, license scans by conditional compression.
 
-A text is cut into sentences and lines; those with a license word, and what few lie between two of them,
-make a candidate block. A block is compressed by itself and with each template as zstandard raw-content
-dictionary: the fewer bytes it takes given a template, the more of the template's wording it holds.
-Templates are tried by the bytes that they save, and a winner must be confirmed by its exact wording: the
-words of template and block are aligned, and what is missing, put in or in a wrong version counts. What lies
-before and after a confirmed notice is scanned again, so a block may hold several.
+A license word and the words around it, as far as the longest stretch of any template that has none, make a
+candidate block; lines and sentences don't matter. In a block, the words of it and of each template are
+aligned, and what is missing, put in or in a wrong version counts. What is found is compressed by itself and
+with its template as zstandard raw-content dictionary: the fewer bytes it takes given a template, the more of
+the template's wording it holds, and the template that saves most wins. What lies before and after a notice
+is scanned again, so a block may hold several.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -22,9 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-+][^\W_]+)*")
-_UNIT = re.compile(r"[^\n]+?(?:(?<!\bv)[.!?;](?=\s)|(?=\n)|\Z)")
-#: A block has one of these in every sentence that starts or ends it; every template has one.
-ANCHORS = r"licen[cs]|copyright|warrant|redistribut|permission is|public domain|\bcc[ -]by|\bcc0|\bmpl\b|\bgpl"
+#: A block has one of these; every template has one.
+ANCHORS = r"licen[cs]|copyright|warrant|redistribut|permission[\W_]+is|public[\W_]+domain|\bcc[\W_]+by|\bcc0|\bmpl\b|\bgpl"
 _ANCHOR = re.compile(ANCHORS)
 
 _NOTICE = "the above copyright notice and this permission notice"
@@ -62,11 +63,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 
 @dataclass(frozen=True)
 class LicenseParams:
-    """``bridge`` sentences without a license word may lie inside a block; ``least_share`` of a template's own
-    compressed size must be saved to be tried; ``tolerance`` is the share of its words that may differ."""
+    """``least_share`` of a template's own compressed size must be saved to be tried; ``tolerance`` is the share of
+    its words that may differ."""
 
     templates: tuple[tuple[str, str], ...] = TEMPLATES
-    bridge: int = 3
     least_share: float = 0.35
     tolerance: float = 0.1
     level: int = 19
@@ -77,24 +77,28 @@ def words(text: str) -> list[tuple[str, int, int]]:
     return [(m.group().lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
-def blocks(text: str, bridge: int, edge: int = 0) -> list[tuple[int, int]]:
-    """Candidate blocks as ranges of ``text``: sentences with a license word, ``bridge`` others at most between
-    two of them, and ``edge`` others before and after."""
-    units = [(m.start(), m.end()) for m in _UNIT.finditer(text) if not m.group().isspace()]
+def _anchors(own: list[str]) -> list[tuple[int, int]]:
+    """Where license words stand in a row of words, as ranges of it."""
+    starts = [0, *accumulate(len(w) + 1 for w in own)]
+    return [(bisect_right(starts, m.start()) - 1, bisect_left(starts, m.end())) for m in _ANCHOR.finditer(" ".join(own))]
+
+
+def blocks(own: list[str], reach: int) -> list[tuple[int, int]]:
+    """Candidate blocks as ranges of words: license words with ``reach`` others around each, joined where these meet."""
     out: list[tuple[int, int]] = []
-    for k, (a, b) in enumerate(units):
-        if _ANCHOR.search(text[a:b].lower()):
-            if out and k - out[-1][1] - 1 <= bridge + 2 * edge:
-                out[-1] = (out[-1][0], k)
-            else:
-                out.append((k, k))
-    return [(units[max(0, a - edge)][0], units[min(len(units) - 1, b + edge)][1]) for a, b in out]
+    for a, b in _anchors(own):
+        lo, hi = max(0, a - reach), min(len(own), b + reach)
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
 
 
-def _edge(text: str) -> int:
-    """How many sentences without a license word come before the first or after the last that has one."""
-    has = [bool(_ANCHOR.search(m.group().lower())) for m in _UNIT.finditer(text.strip())]
-    return max(has.index(True), has[::-1].index(True)) if True in has else len(has)
+def _reach(own: list[str]) -> int:
+    """The longest stretch of a template before, between or after its license words."""
+    at = _anchors(own)
+    return max(lo - hi for hi, lo in zip([0, *(b for _, b in at)], [*(a for a, _ in at), len(own)]))
 
 
 #: Words that tell licenses apart: one that is missing or put in makes another license.
@@ -105,12 +109,15 @@ def _telling(word: str) -> bool:
     return word in _TELLING or any(c.isdigit() for c in word) or word.startswith(("attribution-", "by-"))
 
 
-def differences(template: list[str], block: list[str]) -> tuple[int, int, int, int, bool]:
+def differences(template: list[str], block: list[str], most: int) -> tuple[int, int, int, int, bool]:
     """``(first, end, missing, extra, same license)``: where in ``block`` the template's wording lies, how many
-    of its words are missing there and how many others were put in."""
-    runs = [r for r in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if r.size]
-    if not runs:
+    of its words are missing there and how many others were put in. No more than ``most`` put in are looked past."""
+    match = SequenceMatcher(None, template, block, autojunk=False).find_longest_match()
+    if not match.size:
         return 0, 0, len(template), 0, False
+    skip = max(0, match.b - match.a - most)
+    block = block[skip : match.b + len(template) - match.a + most]
+    runs = [r for r in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if r.size]
     core = lo = hi = max(range(len(runs)), key=lambda i: runs[i].size)
     while lo > 0 and runs[lo].b - runs[lo - 1].b - runs[lo - 1].size <= max(2, 2 * runs[lo - 1].size):
         lo -= 1
@@ -124,7 +131,7 @@ def differences(template: list[str], block: list[str]) -> tuple[int, int, int, i
     in_block = {i for r in found for i in range(r.b, r.b + r.size)}
     lost = [w for i, w in enumerate(template) if i not in in_template]
     put = [block[i] for i in range(first, end) if i not in in_block]
-    return first, end, len(template) - met, len(put), not any(map(_telling, lost + put))
+    return skip + first, skip + end, len(template) - met, len(put), not any(map(_telling, lost + put))
 
 
 class Scanner:
@@ -134,45 +141,50 @@ class Scanner:
         self.params = params
         flags = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.plain = zstandard.ZstdCompressor(level=params.level, **flags)
-        self.edge = max([0, *(_edge(text) for _, text in params.templates)])
-        self.templates = []
+        self.reach, self.templates = 0, []
         for name, text in params.templates:
             own = [w for w, _, _ in words(text)]
+            self.reach = max(self.reach, _reach(own) + int(params.tolerance * len(own)))
             raw = " ".join(own).encode()
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=params.level)
             self.templates.append((name, own, zstandard.ZstdCompressor(dict_data=d, level=params.level, **flags), len(self.plain.compress(raw))))
         self.scan = lru_cache(maxsize=20_000)(self._scan)
 
-    def reductions(self, block: bytes) -> tuple[int, list[tuple[int, int]]]:
-        """The block's size by itself, and the templates as ``(bytes saved, index)``, most first."""
-        alone = len(self.plain.compress(block))
-        saved = [(alone - len(c.compress(block)), k) for k, (_, _, c, _) in enumerate(self.templates)]
-        return alone, sorted(saved, key=lambda x: (-x[0], x[1]))
+    def likely(self, block: list[str]) -> list[tuple[int, int, int, int, int]]:
+        """``(template, first, end, missing, extra)`` of the templates whose wording the block holds within the tolerance."""
+        held, out = set(block), []
+        for k, (_, own, _, _) in enumerate(self.templates):
+            most = int(self.params.tolerance * len(own))
+            if sum(w not in held for w in own) <= most:
+                first, end, missing, extra, same = differences(own, block, most)
+                if same and missing + extra <= most:
+                    out.append((k, first, end, missing, extra))
+        return out
+
+    def reduction(self, k: int, notice: list[str]) -> tuple[int, int]:
+        """The size of a notice by itself, and the bytes that template ``k`` saves."""
+        raw = " ".join(notice).encode()
+        alone = len(self.plain.compress(raw))
+        return alone, alone - len(self.templates[k][2].compress(raw))
 
     def _scan(self, block: tuple[str, ...]) -> tuple[tuple[int, int, str, int, int, int, int], ...]:
         """Confirmed notices ``(first word, end word, license, size alone, bytes saved, missing, extra)``."""
         todo, found = [(0, len(block))], []
         while todo:
             lo, hi = todo.pop()
-            if hi - lo < 2:
-                continue
             part = list(block[lo:hi])
-            alone, ranked = self.reductions(" ".join(part).encode())
+            if hi - lo < 2 or not _anchors(part):
+                continue
             best = None
-            for saved, k in ranked:
+            for k, first, end, missing, extra in self.likely(part):
                 name, own, _, size = self.templates[k]
-                if saved < self.params.least_share * size:
-                    continue
-                if best and saved < best[0]:
-                    break
-                first, end, missing, extra, same = differences(own, part)
-                if same and missing + extra <= int(self.params.tolerance * len(own)):
-                    key = (saved, len(own), -(missing + extra), -k)
-                    if best is None or key > best[:4]:
-                        best = (*key, first, end, name, missing, extra)
+                alone, saved = self.reduction(k, part[first:end])
+                key = (saved, len(own), -(missing + extra), -k)
+                if saved >= self.params.least_share * size and (best is None or key > best[:4]):
+                    best = (*key, first, end, name, alone, missing, extra)
             if best:
-                first, end, name, missing, extra = best[4:]
+                first, end, name, alone, missing, extra = best[4:]
                 found.append((lo + first, lo + end, name, alone, best[0], missing, extra))
                 todo += [(lo, lo + first), (lo + end, hi)]
         return tuple(sorted(found))
@@ -180,10 +192,11 @@ class Scanner:
     def text(self, text: str) -> list[tuple[int, int, str, int, int, int, int]]:
         """Notices of a text, with places in characters."""
         out = []
-        for a, b in blocks(text, self.params.bridge, self.edge):
-            w = words(text[a:b])
+        every = words(text)
+        for a, b in blocks([x for x, _, _ in every], self.reach):
+            w = every[a:b]
             for first, end, *rest in self.scan(tuple(x for x, _, _ in w)):
-                out.append((a + w[first][1], a + w[end - 1][2], *rest))
+                out.append((w[first][1], w[end - 1][2], *rest))
         return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import random
+import textwrap
 
 import corpus_pipeline
 import numpy as np
@@ -39,6 +40,22 @@ def test_license_wording(text, want):
     assert [h[2] for h in license_scan.Scanner(license_scan.LicenseParams()).text(text)] == want
 
 
+@pytest.mark.parametrize("width", [40, 72, 80])
+@pytest.mark.parametrize("lead", ["", " * "])
+def test_every_wrapped_template_is_found(width, lead):
+    s = license_scan.Scanner(license_scan.LicenseParams())
+    for name, wording in license_scan.TEMPLATES:
+        lines = "\n".join(lead + x for x in textwrap.wrap(wording, width, break_on_hyphens=False, break_long_words=False))
+        hits = s.text(f"Some words before.\n{lines}\nAnd some after it.")
+        assert [h[2] for h in hits] == [name] and hits[0][5] + hits[0][6] == 0, (name, wording)
+
+
+@pytest.mark.parametrize("text, want", [("Released under the GNU General Public\nLicense, version 3", "GPL-3.0"), ("Distributed under the\nMIT License", "MIT"), ("released into the public\ndomain", None), ("Released under CC\nBY 4.0.", "CC-BY-4.0")])
+def test_wrapped_license_query(spark, text, want):
+    got = license_scan.scan(spark.createDataFrame([(1, f"{prose(4, 200)}\n{text}\n{prose(5, 200)}")], "doc_id long, text string")).collect()
+    assert [r.license for r in got] == [want] * (want is not None)
+
+
 def test_license_query_against_brute_force(spark, sf):
     """Brute force looks for every short wording in every document, word by word."""
     rows = read(spark, sf, "documents").select("doc_id", "text").collect()
