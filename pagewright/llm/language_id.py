@@ -41,7 +41,6 @@ class LanguageParams:
     batch: int = 64
     held_out: float = 0.25
     alpha: float = 0.001
-    bar_most: float = 0.5
     seed: int = 11
 
 
@@ -184,7 +183,7 @@ def train(texts: list[str], labels: list[str], params: LanguageParams = Language
     q = np.exp((z - z.max(1, keepdims=True)) / temperature)
     q /= q.sum(1, keepdims=True)
     right = q.max(1)[q.argmax(1) == y]
-    bar = min(params.bar_most, float(np.quantile(right, params.alpha))) if len(right) else 0.0
+    bar = float(np.quantile(right, params.alpha)) if len(right) else 0.0
     return LanguageModel(languages, table, bias, temperature, bar, params.bits)
 
 

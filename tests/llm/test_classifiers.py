@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from pagewright.llm import language_id, quality
 from pagewright.llm.common import read
@@ -27,6 +29,15 @@ def test_language_rejects_what_is_no_language(spark):
     assert language_id.identify(spark.createDataFrame([(1, "... 123 !!!")], "doc_id long, text string"), model=model).first().lang == "und"
 
 
+def test_language_rejects_languages_it_never_saw(spark):
+    rng = random.Random(2)
+    nl = "de het een van en in is dat op te zijn met voor niet aan er maar ook als bij door huis stad leven dag mensen tijd nieuwe oude grote".split()
+    sv = "och att det som en på är av för med den till inte om ett han men var jag sig från vi så kan när år hus stad liv dag tid".split()
+    rows = [(k, " ".join(rng.choice((nl, sv)[k % 2]) for _ in range(40))) for k in range(200)]
+    model = language_id.fit(read(spark, MEDIUM, "documents"))
+    assert language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model=model).filter("accepted").count() <= 4
+
+
 def test_language_odd_rows(spark):
     got = language_id.identify(odd_docs(spark)).toPandas()
     assert len(got) == len(odd_rows())
