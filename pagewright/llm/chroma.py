@@ -5,9 +5,8 @@ of these frames, sixteen filters compare sums of rectangles; each response is qu
 frame has a packed integer of 32 bits. Two recordings are aligned by the offset at which most of the integers
 that they share meet (a histogram of offsets), and judged by the share of wrong bits where they overlap there.
 
-Candidates come from the blocked product over a sample of fingerprint columns that operator 3 uses, so that
-columns of very many recordings don't blow up; within components of candidates all pairs are aligned, in
-blocks of recordings by length.
+Recordings that share too few of their integers to match never meet: an index of each recording's rarest integers
+(:mod:`setjoin`) finds all pairs whose sets of integers reach Jaccard ``shared``, and those are aligned.
 
 A recording is the bytes of a WAV file, or, as the tables here hold no audio, a text played note by note: words
 up to one whose hash ends a note make a chord of pitch classes, so equal passages sound alike wherever they stand.
@@ -24,10 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, broadcast_ids, cut, list_column, mix, text_steps
-from .graph import components
-from .ngram_join import JoinParams, candidates
-from .setjoin import _runs, product_groups, without_copies
+from .common import U64, broadcast_small, cut, list_column, mix, text_steps
+from .graph import forest
+from .setjoin import PART_ROWS, by_product, components_of, index_of, overlaps, placed, products, set_keys, with_classes
 from .words import word_hashes
 
 #: ``(kind, first pitch class, pitch classes, frames)`` of each filter.
@@ -42,8 +40,9 @@ _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 @dataclass(frozen=True)
 class ChromaParams:
-    """``frame`` is a multiple of ``hop``. Recordings match if at their best offset they overlap by ``cover`` of
-    the longer one and at most ``errors`` of the bits there differ; ``search`` tunes the candidate product."""
+    """``frame`` is a multiple of ``hop``. Recordings match if their sets of integers reach Jaccard ``shared``, and at
+    their best offset they overlap by ``cover`` of the longer one and at most ``errors`` of the bits differ; so a
+    clip within a longer recording doesn't match it. ``block`` recordings are compared with as many at a time."""
 
     rate: int = 8000
     frame: int = 512
@@ -52,8 +51,8 @@ class ChromaParams:
     high: float = 3420.0
     cover: float = 0.6
     errors: float = 0.1
-    search: JoinParams = JoinParams(threshold=0.35, columns=24, hot_columns=12)
-    block: int = 512
+    shared: float = 0.3
+    block: int = 2048
 
 
 Decoder = Callable[[pa.Array, ChromaParams], Iterator[tuple[int, int, np.ndarray, np.ndarray]]]
@@ -195,90 +194,85 @@ def _first_places(own: np.ndarray, silent: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def fingerprints(media: DataFrame, decoder: Decoder, params: ChromaParams = ChromaParams()) -> DataFrame:
-    """``(id, frames, size, k1, k2, cols, prints, silent)`` of every recording in ``media (id, audio)`` with sound.
+    """``(id, ref, k, prints, silent)`` of every recording in ``media (id, audio)`` with sound.
 
-    ``prints`` has an integer for each frame, ``size`` counts the distinct ones, ``cols`` is a sample of their
-    hashes and ``k1, k2`` are equal for equal sequences. Rows whose audio is null, empty, silent or can't be
-    decoded have no fingerprint.
+    ``prints`` has an integer for each frame, ``silent`` the frames without sound, and ``k`` is equal for equal
+    sequences. Rows whose audio is null, empty, silent or can't be decoded have no fingerprint.
     """
     p, marks = params, thresholds(params)
-    schema = "id long, frames int, size int, k1 long, k2 long, cols array<long>, prints array<int>, silent array<int>"
+    schema = "id long, ref long, k long, prints array<int>, silent array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, samples, bounds in decoder(batch.column(1), p):
                 flat, silent, ends = prints(samples, bounds, p, marks)
-                size, cols, mute, keys = [], [], [], np.zeros((2, hi - lo), np.uint64)
-                for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-                    values, _ = _first_places(flat[a:b], silent[a:b])
-                    size.append(len(values))
-                    h = np.sort(mix(values.astype(np.uint64) + U64(0x1F3D5B79)))
-                    cols.append(h if len(h) <= p.search.columns else h[: np.searchsorted(h, U64((1 << 64) // len(h) * p.search.columns - 1))])
-                    mute.append(np.flatnonzero(silent[a:b]))
-                    seq = mix(flat[a:b].astype(np.uint64) + (np.arange(b - a, dtype=np.uint64) << U64(32)))
-                    keys[:, i] = seq.sum(), mix(seq ^ U64(0x5851F42D4C957F2D)).sum()
-                lists = [list_column(np.concatenate(x), np.array([len(y) for y in x]), k) for x, k in ((cols, pa.uint64()), (mute, pa.int32()))]
+                frames = np.diff(ends)
+                place = np.arange(len(flat)) - np.repeat(ends[:-1], frames)
+                sound = np.concatenate([[0], np.cumsum(~silent)])
+                mute = np.concatenate([[0], np.cumsum(silent)])[ends]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ends), pa.int32()), pa.array(size, pa.int32()), *map(pa.array, keys.view(np.int64)), lists[0].view(pa.list_(pa.int64())), list_column(flat.view(np.int32), np.diff(ends), pa.int32()), lists[1]],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(np.zeros(hi - lo, np.int64)), pa.array(set_keys(flat.astype(np.uint64) + (place.astype(np.uint64) << U64(32)), frames)), list_column(flat.view(np.int32), frames, pa.int32()), list_column(place[silent], np.diff(mute), pa.int32())],
                     [x.split()[0] for x in schema.split(", ")],
-                ).filter(pa.array(np.array(size) > 0))
+                ).filter(pa.array(np.diff(sound[ends]) > 0))
 
     return media.select(F.col("id").cast("long").alias("id"), "audio").filter("id is not null and audio is not null").mapInArrow(run, schema)
 
 
-def align(ids: np.ndarray, own: list[np.ndarray], mute: list[np.ndarray], block: np.ndarray, one: bool, p: ChromaParams) -> list[np.ndarray]:
-    """Matching pairs among recordings ``[doc_a, doc_b, offset, overlap, errors]``; with ``one`` all pairs count, else
-    those of different blocks."""
-    order = np.argsort(ids, kind="stable")
-    ids, block, own, mute = ids[order], block[order], [own[i] for i in order], [mute[i] for i in order]
-    lens = np.array([len(x) for x in own], np.int64)
+def print_sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, list[np.ndarray], np.ndarray]]:
+    """The distinct prints of sound of the rows of :func:`fingerprints`, hashed."""
+    for lo in range(0, batch.num_rows, PART_ROWS):
+        part = batch.slice(lo, PART_ROWS)
+        sets = []
+        for own, mute in zip(part.column(3).to_numpy(zero_copy_only=False), part.column(4).to_numpy(zero_copy_only=False)):
+            sets.append(mix(np.unique(np.delete(own.view(np.uint32), mute)).astype(np.uint64) + U64(0x1F3D5B79)))
+        yield part.column(0), part.column(1), sets, part.column(2).to_numpy()
+
+
+#: Prints and frames that a step of :func:`align` looks at.
+_STRIP = 1 << 18
+
+
+def align(x: np.ndarray, y: np.ndarray, own: list[np.ndarray], mute: list[np.ndarray], p: ChromaParams) -> list[np.ndarray]:
+    """``[x, y, offset, overlap, errors]`` of those pairs of recordings that match at their most frequent offset."""
+    lens = np.array([len(v) for v in own], np.int64)
+    fit = np.minimum(lens[x], lens[y]) >= p.cover * np.maximum(lens[x], lens[y]) - 1e-9
+    x, y = x[fit], y[fit]
     starts, flat = np.cumsum(lens) - lens, np.concatenate(own)
     silent = np.zeros(len(flat), bool)
     silent[np.concatenate([s + m for s, m in zip(starts, mute)]).astype(np.int64)] = True
-    firsts = [_first_places(x, silent[s : s + len(x)]) for x, s in zip(own, starts.tolist())]
-    value = np.concatenate([v for v, _ in firsts])
+    firsts = [_first_places(v, silent[s : s + len(v)]) for v, s in zip(own, starts.tolist())]
+    n = np.array([len(v) for v, _ in firsts], np.int64)
+    named = np.concatenate([v for v, _ in firsts]).astype(np.int64) + (np.repeat(np.arange(len(own)), n) << 32)
     place = np.concatenate([f for _, f in firsts])
-    doc = np.repeat(np.arange(len(own)), [len(v) for v, _ in firsts])
-    by = np.lexsort((doc, value))
-    value, place, doc = value[by], place[by], doc[by]
-    left = np.searchsorted(value, value, side="right") - np.arange(len(value)) - 1  # partners that come after
-    own_posts = np.argsort(doc, kind="stable")
-    bounds = np.searchsorted(doc[own_posts], np.arange(len(own) + 1))
-    work = np.concatenate([[0], np.cumsum(left[own_posts])])[bounds]
+    first = np.cumsum(n) - n
+    work = np.concatenate([[0], np.cumsum(n[x])])
     out = [[np.zeros(0, np.int64)] * 5]
     lo = 0
-    while lo < len(own):  # a strip of recordings with all their partners: what is held follows the strip
+    while lo < len(x):  # a strip of pairs: the prints of ``x`` looked up among those of ``y``
         hi = max(lo + 1, int(np.searchsorted(work, work[lo] + _STRIP, side="right")) - 1)
-        post = own_posts[bounds[lo] : bounds[hi]]
-        n = left[post]
-        i = np.repeat(post, n)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        x, y = doc[i], doc[j]
-        fit = np.minimum(lens[x], lens[y]) >= p.cover * np.maximum(lens[x], lens[y]) - 1e-9
-        if not one:
-            fit &= block[x] != block[y]
-        out.append(_judged(x[fit], y[fit], (place[j] - place[i])[fit], ids, lens, starts, flat, p))
+        pair = np.repeat(np.arange(lo, hi), n[x[lo:hi]])
+        at = first[x[pair]] + np.arange(len(pair)) - (work[pair] - work[lo])
+        want = (named[at] & 0xFFFFFFFF) + (y[pair] << 32)
+        to = np.minimum(np.searchsorted(named, want), len(named) - 1)
+        hit = named[to] == want
+        out.append(_judged(x, y, pair[hit], (place[to] - place[at])[hit], lens, starts, flat, p))
         lo = hi
     return [np.concatenate(c) for c in zip(*out)]
 
 
-#: Shared fingerprints that a step of :func:`align` looks at.
-_STRIP = 1 << 17
-
-
-def _judged(x: np.ndarray, y: np.ndarray, off: np.ndarray, ids: np.ndarray, lens: np.ndarray, starts: np.ndarray, flat: np.ndarray, p: ChromaParams) -> list[np.ndarray]:
-    """The pairs ``x, y`` that match at the most frequent of their offsets ``off``."""
-    if not len(x):
+def _judged(x: np.ndarray, y: np.ndarray, pair: np.ndarray, off: np.ndarray, lens: np.ndarray, starts: np.ndarray, flat: np.ndarray, p: ChromaParams) -> list[np.ndarray]:
+    """Those of the pairs that match at the most frequent of their offsets ``off``."""
+    if not len(pair):
         return [np.zeros(0, np.int64)] * 5
     far = int(lens.max()) + 1
-    key, n = np.unique((x * len(lens) + y) * (2 * far) + off + far, return_counts=True)
+    key, n = np.unique(pair * (2 * far) + off + far, return_counts=True)
     pair, off = key // (2 * far), key % (2 * far) - far
     by = np.lexsort((off, np.abs(off), -n, pair))
     by = by[np.concatenate([[True], pair[by][1:] != pair[by][:-1]])]
-    x, y, off = pair[by] // len(lens), pair[by] % len(lens), off[by]
+    x, y, off = x[pair[by]], y[pair[by]], off[by]
     a0 = np.maximum(0, -off)
     overlap = np.minimum(lens[x], lens[y] - off) - a0
-    ok = (overlap >= p.cover * np.maximum(lens[x], lens[y]) - 1e-9) & (ids[x] != ids[y])
+    ok = overlap >= p.cover * np.maximum(lens[x], lens[y]) - 1e-9
     x, y, off, a0, overlap = x[ok], y[ok], off[ok], a0[ok], overlap[ok]
     errors = np.zeros(len(x), np.int64)
     sums = np.concatenate([[0], np.cumsum(overlap)])
@@ -292,45 +286,74 @@ def _judged(x: np.ndarray, y: np.ndarray, off: np.ndarray, ids: np.ndarray, lens
         errors[lo:hi] = np.add.reduceat(np.bitwise_count(flat[i] ^ flat[j]).astype(np.int64), sums[lo:hi] - sums[lo])
         lo = hi
     ok = errors <= p.errors * 32 * overlap
-    return [ids[x[ok]], ids[y[ok]], off[ok], overlap[ok], errors[ok]]
+    return [x[ok], y[ok], off[ok], overlap[ok], errors[ok]]
 
 
-_PAIRS = "doc_a long, doc_b long, offset long, overlap long, errors long"
+_MET = "k long, up long, links long, partner long, offset long, overlap long, errors long"
 
 
-def aligned(placed: DataFrame, p: ChromaParams) -> DataFrame:
-    """Alignments within block products ``(comp, i, j, block, id, prints, silent)``."""
+def matched(rows: DataFrame, p: ChromaParams) -> DataFrame:
+    """For each recording in each product its links, a recording it is connected with, and its best partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for comp, bi, bj, block, ids, own, mute in _runs(batches, 3):
-            start = np.flatnonzero(np.concatenate([[True], (comp[1:] != comp[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]))
-            for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(comp)]):
-                if hi - lo > 1:
-                    out = align(ids[lo:hi], [np.asarray(x, np.int32).view(np.uint32) for x in own[lo:hi]], [np.asarray(x, np.int32) for x in mute[lo:hi]], block[lo:hi], bool(bi[lo] == bj[lo]), p)
-                    for at in range(0, len(out[0]), 100_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in out], [x.split()[0] for x in _PAIRS.split(", ")])
-
-    rows = placed.select("comp", "i", "j", "block", "id", "prints", "silent").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    return rows.mapInArrow(run, _PAIRS)
+        for x, y, (k, size, lead, w, sig, own, mute) in products(batches):
+            if not len(x) or not len(y):
+                continue
+            sets = [np.asarray(s, np.int64).view(np.uint64) for s in sig]
+            own = [np.asarray(s, np.int32).view(np.uint32) for s in own]
+            mute = [np.asarray(s, np.int32) for s in mute]
+            order = np.empty(len(k), np.int64)  # pairs go from the lower lead to the higher
+            order[np.lexsort((k, lead))] = np.arange(len(k))
+            out = [[np.zeros(0, np.int64)] * 5]
+            one = x[0] == y[0]
+            for a, b, _ in overlaps(x, y, sets, size, p.shared):
+                turned = order[a] > order[b]
+                a, b = (a[~turned], b[~turned]) if one else (np.where(turned, b, a), np.where(turned, a, b))
+                if len(a):
+                    out.append(align(a, b, own, mute, p))
+            a, b, off, overlap, errors = (np.concatenate(c) for c in zip(*out))
+            if not len(a):
+                continue
+            root, node = forest(k[a], k[b])
+            at = np.argsort(k)
+            up = k.copy()
+            up[at[np.searchsorted(k[at], node)]] = root
+            a, b, off, overlap, errors = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([off, -off]), np.concatenate([overlap] * 2), np.concatenate([errors] * 2)
+            links = np.bincount(a, w[b], len(k)).astype(np.int64)
+            by = np.lexsort((order[b], errors, -overlap, a))
+            by = by[np.concatenate([[True], a[by][1:] != a[by][:-1]])]
+            a, b, off, overlap, errors = a[by], b[by], off[by], overlap[by], errors[by]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k[a], up[a], links[a], lead[b], off, overlap, errors)], [c.split()[0] for c in _MET.split(", ")])
+
+    return by_product(rows).mapInArrow(run, _MET)
 
 
 def match_recordings(media: DataFrame, decoder: Decoder, params: ChromaParams = ChromaParams()) -> DataFrame:
-    """``(doc_a, doc_b, offset, overlap, errors)``, ``doc_a < doc_b``: recordings in ``media (id, audio)`` that match.
-
-    ``offset`` frames into ``doc_b`` lies ``doc_a``'s start, ``overlap`` is in frames, ``errors`` in bits. Recordings
-    of equal fingerprints stand as pairs with the lowest id among them, and that one alone is paired with
-    others. Defined results: null ids, null, empty, silent or undecodable audio and texts without a word have
-    no partner; a fingerprint that comes again in a recording counts at its first place; offsets that are as
-    frequent go by the least shift, then the lower; repeated rows are one recording and an id is never its own
-    partner (of rows that share an id, the pair with the longest overlap stands); an empty table gives no
-    pairs; other columns are not read.
+    """``(doc_id, class_id, links, partner, offset, overlap, errors)`` for every recording in ``media (id, audio)`` with sound.
+
+    Two recordings match if their sets of prints reach Jaccard ``shared`` and at their most frequent offset they
+    overlap by ``cover`` of the longer with at most ``errors`` wrong bits. ``links`` counts the recordings that
+    match, ``class_id`` is the lowest id that chains of matches lead to. ``partner`` is, of the recordings with
+    other fingerprints that match, the one with the longest overlap (in frames), then the fewest errors (in
+    bits), then the lowest id; ``offset`` frames into it lies the recording's start; without any the four are null.
+    Defined results: null ids, null, empty, silent or undecodable audio and texts without a word have no row; a
+    recording is an id with its fingerprints, so repeated rows are one and other audio of the same id is another;
+    recordings of equal fingerprints match, and their lowest id stands for them as partner; a print that
+    comes again in a recording counts at its first place; offsets that are as frequent go by the least shift, then
+    the lower, seen from the recording of the lower id; an empty table gives no rows; other columns are not read. An
+    id that is no whole number is an error.
     """
     p = params
     rows = cut(fingerprints(media, decoder, p))
-    lead, same = without_copies(rows, ["k1", "k2", "frames"], "id")
-    copies = same.select(F.col("lead").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(0).cast("long").alias("offset"), F.col("frames").cast("long").alias("overlap"), F.lit(0).cast("long").alias("errors"))
-    comp = components(candidates(lead.select("id", "size", "cols"), p.search))
-    places = cut(product_groups(comp.join(lead.groupBy("id").agg(F.max("frames").alias("size")), "id"), p.cover, p.block))
-    placed = lead.select("id", "prints", "silent").join(broadcast_ids(places), "id").select("id", "prints", "silent", F.explode("places").alias("p")).select("p.comp", "p.i", "p.j", "p.block", "id", "prints", "silent")
-    pairs = aligned(placed, p).groupBy("doc_a", "doc_b").agg(F.max(F.struct("overlap", -F.col("errors"), "offset")).alias("x"))
-    return pairs.select("doc_a", "doc_b", "x.offset", "x.overlap", (-F.col("x.col2")).alias("errors")).union(copies)
+    index = index_of(rows, print_sets, p.shared)
+    docs = cut(index.groupBy("id", "k").agg(F.count("*").alias("rows")))
+    sets = cut(docs.groupBy("k").agg(F.min("id").alias("lead"), F.count("*").alias("w")))
+    comp = components_of(index, p.shared)
+    place = placed(index, comp, sets, p.block)
+    members = broadcast_small(comp.select(F.col("id").alias("k")))
+    sound = rows.join(members, "k", "left_semi").groupBy("k").agg(F.first("prints").alias("prints"), F.first("silent").alias("silent"))
+    met = cut(matched(place.join(sound, "k").select("comp", "i", "j", "block", "k", "size", "lead", "w", "sig", "prints", "silent"), p))
+    best = met.groupBy("k").agg(F.max(F.struct("overlap", (-F.col("errors")).alias("errors"), (-F.col("partner")).alias("partner"), "offset")).alias("b"))
+    best = broadcast_small(cut(best.select("k", (-F.col("b.partner")).alias("partner"), "b.offset", "b.overlap", (-F.col("b.errors")).alias("errors"))))
+    known = with_classes(sets, met.select("k", "up", "links")).join(best, "k", "left")
+    return docs.join(known, "k").select(F.col("id").alias("doc_id"), "class_id", "links", "partner", "offset", "overlap", "errors")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 #: Most bytes of text that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
@@ -18,10 +19,12 @@ _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, else one set here (one machine, tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; on one machine alone, where it is unset, one made here."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return named or str(sc.getCheckpointDir())
 
@@ -44,11 +47,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-def text_steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_steps(column: pa.Array, most: int = STEP_BYTES, most_rows: int = 20_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of a string column as ``(first row, end row, bytes, offsets)``.
 
     ``offsets`` has a leading 0 and one end per row; a null text counts as an empty one. A run holds
-    at most ``most`` bytes, unless one row alone is longer.
+    at most ``most`` bytes, unless one row alone is longer, and at most ``most_rows`` rows.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -63,7 +66,7 @@ def text_steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int,
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < rows:
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, side="right")) - 1)
+        hi = min(lo + most_rows, max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, side="right")) - 1))
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 
@@ -89,6 +92,19 @@ def hashed_sample(df: DataFrame, key: str, group: str, most: int, seed: int = 7)
     return df.filter(place < bar) if sizes else df.filter(F.lit(False))
 
 
-def broadcast_ids(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """``ids`` marked for broadcast when it has at most ``most`` rows, else as it is, for a shuffled join."""
-    return F.broadcast(ids) if ids.count() <= most else ids
+#: Bytes of rows up to which a side of a join is broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_small(rows: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` marked for broadcast if they hold at most ``most`` bytes, else as they are, for a shuffled join.
+
+    Bytes are the rows' number times their width, so all columns must be of fixed width; counting runs the rows
+    once, so they should be written ones (:func:`cut`).
+    """
+    width = 16
+    for field in rows.schema:
+        if isinstance(field.dataType, (StringType, BinaryType, ArrayType, MapType, StructType)):
+            raise TypeError(f"{field.name} has no fixed width")
+        width += 8
+    return F.broadcast(rows) if rows.count() * width <= most else rows

@@ -2,13 +2,14 @@
 
 Each partition first reduces its edges to a spanning forest. While many edges are left, every node hooks to its
 least neighbour and the edges between the hooks are what the next round works on, which is a fraction of
-them; what is left in the end is one union-find in one task.
+them; what is left in the end is one numpy union-find in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,43 +17,51 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the partition's edges: each root with the rest of its tree."""
-    parent: dict[int, int] = {}
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(root, node)`` for every node of the edges that isn't the least of its component: a forest of stars."""
+    names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    up = np.arange(len(names))
+    while len(x):
+        least = np.minimum(up[x], up[y])
+        np.minimum.at(up, up[x], least)
+        np.minimum.at(up, up[y], least)
+        while True:
+            nxt = up[up]
+            if np.array_equal(nxt, up):
+                break
+            up = nxt
+        open_ = up[x] != up[y]
+        x, y = x[open_], y[open_]
+    node = np.flatnonzero(up != np.arange(len(names)))
+    return names[up[node]], names[node]
+
 
-    def find(x: int) -> int:
-        root = x
-        while (up := parent.setdefault(root, root)) != root:
-            root = up
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
+#: Edges that are reduced together.
+_STEP = 1 << 20
 
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the partition's edges."""
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    parts: list[list[np.ndarray]] = []
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ra, rb = find(a), find(b)
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-    rows = [(find(x), x) for x in parent]
-    rows = [r for r in rows if r[0] != r[1]]
-    for lo in range(0, len(rows), 50_000):
-        part = rows[lo : lo + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64())], ["a", "b"])
+        parts.append([c.to_numpy() for c in batch.columns])
+        if sum(len(p[0]) for p in parts) > _STEP:
+            held, parts = list(forest(*(np.concatenate([h, *(p[k] for p in parts)]) for k, h in enumerate(held)))), []
+    root, node = forest(*(np.concatenate([h, *(p[k] for p in parts)]) for k, h in enumerate(held)))
+    for lo in range(0, len(root), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(root[lo : lo + 50_000]), pa.array(node[lo : lo + 50_000])], ["a", "b"])
 
 
 def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The least id of each node's tree, for all edges of the one partition."""
-    own: dict[int, int] = {}
     for batch in _forest(batches):
-        for root, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own[x] = own[root] = root
-    rows = list(own.items())
-    for lo in range(0, len(rows), 50_000):
-        part = rows[lo : lo + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64())], ["id", "comp"])
+        root, node = (c.to_numpy() for c in batch.columns)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node, root])), pa.array(np.concatenate([root, root]))], ["id", "comp"])
 
 
-def components(edges: DataFrame, few: int = 300_000) -> DataFrame:
+def components(edges: DataFrame, few: int = 1_000_000) -> DataFrame:
     """``(id, comp)`` for every end of ``edges (a, b)``; ``comp`` is the least id of the component.
 
     Up to ``few`` edges are finished in one task; more are contracted first, so neither memory nor the number of
@@ -68,7 +77,7 @@ def components(edges: DataFrame, few: int = 300_000) -> DataFrame:
         ends = lambda c: hook.select(F.col("id").alias(c), F.col("up").alias(f"up_{c}"))  # noqa: B023, E731
         moved = thin.join(ends("a"), "a").join(ends("b"), "b").select(F.col("up_a").alias("a"), F.col("up_b").alias("b"))
         thin = cut(moved.filter("a <> b").distinct().mapInArrow(_forest, "a long, b long"))
-    top = cut(thin.coalesce(1).mapInArrow(_labels, "id long, comp long"))
+    top = cut(thin.coalesce(1).mapInArrow(_labels, "id long, comp long").distinct())
     for hook in reversed(layers):
         known = top.select(F.col("id").alias("up"), "comp")
         top = cut(hook.join(known, "up", "left").select("id", F.coalesce("comp", "up").alias("comp")))

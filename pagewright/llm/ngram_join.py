@@ -1,18 +1,11 @@
 """Operator 3, n-gram Jaccard join: blocked sparse product of the document by n-gram incidence.
 
-1. Each document becomes the set of its word n-grams (hashed). Documents of equal sets are one row of
-   the matrix from here on; their copies are tied to the lowest doc_id.
-2. A first product runs over a sample of the columns: a document of ``s`` grams enters those whose hash
-   is under ``columns / s`` of the range, so two documents of like size enter the same ones. Overlap counts
-   are added up a block of columns a task; a pair is dropped where its size ratio or its count is below
-   what Jaccard ``t`` needs for its sizes. Columns held by very many documents are left out of it, and
-   their number is credited to the document; only documents made mostly of such columns are multiplied
-   over them as well.
-3. What is left links documents into components; within each, an exact product over all columns in
-   blocks of documents by size gives the overlap and Jaccard of every pair.
-
-The sample is the only approximation: at Jaccard ``t`` a pair shares ``t * columns`` sampled columns in
-the mean and needs ``slack`` of that, so recall is far above 0.99 there and higher above it.
+Each document becomes the set of its word n-grams (hashed), a row of the incidence matrix. Documents of equal sets
+are one row from there on. Columns are counted, and those of one row leave the matrix: they can't overlap. The
+columns that are left are ordered by rarity, so that every similar pair shares one of the first few of both rows
+and meets there; components of such meetings are blocks of the matrix outside of which all overlaps are too small.
+In them the product of the matrix with its transpose is added up, and counts under what the two sizes need for
+Jaccard ``threshold`` are discarded. See :mod:`setjoin` for the steps, which sample nothing.
 """
 
 from __future__ import annotations
@@ -20,144 +13,62 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_ids, cut, list_column, text_steps
-from .graph import components
-from .setjoin import count_pairs, exact_pairs, product_groups, set_keys, without_copies
+from .common import broadcast_small, cut, text_steps
+from .setjoin import classes, index_of
 from .words import ngram_sets
 
-import numpy as np
-
 
 @dataclass(frozen=True)
 class JoinParams:
+    """``n`` words make a gram; ``block`` rows a block of the product."""
+
     n: int = 3
     threshold: float = 0.6
-    columns: int = 48
-    hot_columns: int = 12
-    hot: int = 128
-    slack: float = 0.5
-    block: int = 512
-
-
-def sketch(docs: DataFrame, p: JoinParams) -> DataFrame:
-    """``(doc_id, size, k1, k2, cols)`` of every document with a word in it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offs in text_steps(batch.column(1)):
-                sets = ngram_sets(data, offs, p.n)
-                size = np.array([len(s) for s in sets], np.int32)
-                k1, k2 = set_keys(sets)
-                cols = [s if len(s) <= p.columns else s[: np.searchsorted(s, np.uint64((1 << 64) // len(s) * p.columns - 1))] for s in sets]
-                table = pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(k1), pa.array(k2), list_column(np.concatenate(cols).view(np.int64), np.array([len(c) for c in cols]), pa.int64())],
-                    ["doc_id", "size", "k1", "k2", "cols"],
-                )
-                yield table.filter(pa.array(size > 0))
-
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).filter("doc_id is not null and text is not null")
-    return base.mapInArrow(run, "doc_id long, size int, k1 long, k2 long, cols array<long>")
-
-
-def full_sets(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
-    """Whole gram sets of the documents in ``places (id, places)``, a row for each place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offs in text_steps(batch.column(1)):
-                sets = ngram_sets(data, offs, n)
-                grams = list_column(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), grams], ["id", "places", "grams"])
-
-    base = docs.select(F.col("doc_id").cast("long").alias("id"), F.lower("text").alias("text")).filter("text is not null").join(broadcast_ids(places), "id")
-    place = "struct<comp:long,i:int,j:int,block:int>"
-    rows = base.select("id", "text", "places").mapInArrow(run, f"id long, places array<{place}>, grams array<long>")
-    return rows.select("id", "grams", F.explode("places").alias("p")).select("p.comp", "p.i", "p.j", "p.block", "id", "grams")
-
-
-def candidates(rows: DataFrame, p: JoinParams) -> DataFrame:
-    """``(a, b)`` that may reach the threshold, from ``rows (id, size, cols)``."""
-    t, unit = p.threshold, float(1 << 64)
-    posts = rows.select("id", "size", F.explode("cols").alias("h"))
-    hot = posts.groupBy("h").count().filter(F.col("count") > p.hot).select("h")
-    hot_posts = cut(posts.join(broadcast_ids(hot), "h"))
-    credit = hot_posts.groupBy(F.col("id").alias("big")).agg(F.count("*").alias("hot"))
-    cold = count_pairs(posts, t, p.hot)
-    big_a = (F.col("size_a") > F.col("size_b"))
-    cold = cold.withColumn("big", F.when(big_a, F.col("a")).otherwise(F.col("b"))).join(credit, "big", "left")
-    larger = F.greatest("size_a", "size_b")
-    rate = F.least(F.lit(1.0), F.lit(float(p.columns)) / larger)
-    need = F.lit(p.slack * t / (1 + t)) * (F.col("size_a") + F.col("size_b")) * rate
-    cold = cold.filter(F.col("n") + F.coalesce("hot", F.lit(0)) >= need).select("a", "b")
-    # documents of which so many sampled columns are hot that a partner could be missed without them
-    ruled = credit.join(rows.select(F.col("id").alias("big"), F.size("cols").alias("n_cols")), "big").filter(F.col("hot") >= F.col("n_cols") * (t * p.slack)).select(F.col("big").alias("id"))
-    place = F.when(F.col("h") < 0, F.col("h").cast("double") + unit).otherwise(F.col("h").cast("double"))
-    low = hot_posts.filter(place < F.lit(unit * p.hot_columns) / F.col("size"))
-    ruled_pairs = count_pairs(low.join(broadcast_ids(ruled), "id"), t).select("a", "b")
-    return cold.union(ruled_pairs)
+    block: int = 2048
+
+
+def _classes(docs: DataFrame, ref: Column, p: JoinParams) -> DataFrame:
+    def extract(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, list[np.ndarray], None]]:
+        for lo, hi, data, offs in text_steps(batch.column(2)):
+            yield batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), ngram_sets(data, offs, p.n), None
+
+    base = docs.select(F.col("doc_id").cast("long").alias("id"), ref.cast("long").alias("ref"), F.lower("text").alias("text"))
+    return classes(index_of(base, extract, p.threshold), p.threshold, p.block)
 
 
 def join_documents(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """``(doc_a, doc_b, size_a, size_b, overlap, jaccard)``, ``doc_a < doc_b``, Jaccard from the threshold on.
-
-    Documents of equal n-gram sets stand as pairs with the lowest doc_id among them, and that one alone
-    is paired with others: x and y are similar exactly if their lowest are the same or paired
-    (:func:`expand_copies` writes all pairs out). Defined results: null doc_ids, null or empty texts and
-    texts without a word have no partner; a text of fewer than n words is one gram; repeated rows are one
-    document and a repeated doc_id is never its own partner; an empty table gives no pairs; other columns
-    are not read.
+    """``(doc_id, class_id, links)`` for every document: how many others reach Jaccard ``threshold`` with it.
+
+    ``class_id`` is the lowest doc_id that chains of links lead to, the document's own where it has no link. Defined
+    results: a document is a doc_id with a set of n-grams, so repeated rows are one document and texts of one
+    doc_id that differ are several, a row and possible partners each; null doc_ids, null or empty texts and texts
+    without a word have no row; a text of fewer than n words is one gram; a Jaccard equal to the threshold
+    links; an empty table gives no rows; other columns are not read. A doc_id that is no whole number is an error.
     """
-    p = params
-    base = docs.select("doc_id", "text")
-    rows = cut(sketch(base, p))
-    leads, same = without_copies(rows, ["k1", "k2", "size"], "doc_id")
-    lead = leads.select(F.col("doc_id").alias("id"), "size", "cols")
-    size = F.col("size").cast("long")
-    copies = same.select(F.col("lead").alias("doc_a"), F.col("doc_id").alias("doc_b"), size.alias("size_a"), size.alias("size_b"), size.alias("overlap"), F.lit(1.0).alias("jaccard"))
-    comp = components(candidates(lead, p))
-    members = comp.join(lead.groupBy("id").agg(F.max("size").alias("size")), "id")
-    places = cut(product_groups(members, p.threshold, p.block))
-    pairs = exact_pairs(full_sets(base, places, p.n), p.threshold)
-    return pairs.groupBy("doc_a", "doc_b").agg(F.max_by(F.struct("size_a", "size_b", "overlap", "jaccard"), "jaccard").alias("x")).select("doc_a", "doc_b", "x.*").union(copies)
-
-
-def expand_copies(pairs: DataFrame) -> DataFrame:
-    """All similar pairs ``(doc_a, doc_b, jaccard)``, copies written out."""
-    star = pairs.filter("jaccard = 1.0 and size_a = overlap and size_b = overlap")
-    same = star.select(F.col("doc_a").alias("lead"), F.col("doc_b").alias("doc")).union(pairs.select(F.col("doc_a"), F.col("doc_a"))).union(pairs.select("doc_b", "doc_b").join(star.select("doc_b"), "doc_b", "left_anti").select(F.col("doc_b"), F.col("doc_b").alias("doc"))).distinct()
-    x, y = same.select(F.col("lead").alias("doc_a"), F.col("doc").alias("x")), same.select(F.col("lead").alias("doc_b"), F.col("doc").alias("y"))
-    near = pairs.join(star.select("doc_a", "doc_b"), ["doc_a", "doc_b"], "left_anti").select("doc_a", "doc_b", "jaccard").join(x, "doc_a").join(y, "doc_b").select("x", "y", "jaccard")
-    own = x.join(y.withColumnRenamed("doc_b", "doc_a"), "doc_a").filter("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
-    return near.union(own).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard").filter("doc_a <> doc_b").distinct()
-
-
-def all_pairs(pairs: DataFrame) -> DataFrame:
-    """Every similar pair of documents, with the columns of ``pairs``, the rows of :func:`join_documents` or of
-    ``spotsigs.similar_documents``: each document of a group of equal sets stands with all that its lead stands with."""
-    rows = cut(pairs)
-    equal = (F.col("size_a") == F.col("overlap")) & (F.col("size_b") == F.col("overlap"))
-    star = rows.filter(equal).select(F.col("doc_a").alias("lead"), "size_a", F.col("doc_b").alias("doc"))
-    group = cut(star.union(star.select("lead", "size_a", F.col("lead").alias("doc"))).distinct())
-    x, y = group.select(F.col("lead").alias("doc_a"), "size_a", F.col("doc").alias("x")), group.select(F.col("lead").alias("doc_b"), F.col("size_a").alias("size_b"), F.col("doc").alias("y"))
-    near = rows.filter(~equal).join(x, ["doc_a", "size_a"], "left").join(y, ["doc_b", "size_b"], "left")
-    near = near.select(F.coalesce("x", "doc_a").alias("x"), F.coalesce("y", "doc_b").alias("y"), "size_a", "size_b", "overlap", "jaccard")
-    own = x.join(y.withColumnsRenamed({"doc_b": "doc_a", "size_b": "size_a"}), ["doc_a", "size_a"]).filter("x < y")
-    every = near.union(own.select("x", "y", "size_a", F.col("size_a"), F.col("size_a").alias("overlap"), F.lit(1.0).alias("jaccard"))).filter("x <> y")
-    turned = F.col("x") > F.col("y")
-    pick = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a))
-    every = every.select(pick("x", "y").alias("doc_a"), pick("y", "x").alias("doc_b"), pick("size_a", "size_b").alias("size_a"), pick("size_b", "size_a").alias("size_b"), "overlap", "jaccard")
-    return every.groupBy("doc_a", "doc_b").agg(F.max_by(F.struct("size_a", "size_b", "overlap", "jaccard"), "jaccard").alias("p")).select("doc_a", "doc_b", "p.*")
+    rows = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    return _classes(rows, F.lit(0), params).select(F.col("id").alias("doc_id"), "class_id", "links")
 
 
 def keep_one(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """``docs`` with one document of each group of linked documents, the lowest doc_id; all columns as they were.
+    """``docs`` with one row of each class of linked documents, all columns as they were.
 
-    Rows in no pair stay as they are, those with a null doc_id or text among them.
+    The lowest doc_id stays (null comes last), of texts that share it the one of the lowest hash, of repeated rows
+    any one. Rows whose text is null, empty or without a word stay as they are; an empty table stays empty.
     """
-    comp = components(join_documents(docs, params).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
-    gone = comp.filter("id <> comp").select(F.col("id").alias("doc_id"))
-    return docs.join(broadcast_ids(gone), "doc_id", "left_anti")
+    rows = cut(_classes(docs.filter("text is not null"), F.xxhash64("text"), params).filter("links > 0 or rows > 1"))
+    name = F.struct(F.col("id").isNull().alias("last"), "id", "ref")
+    best = rows.groupBy("comp").agg(F.min(name).alias("best"))
+    judged = rows.join(best, "comp").select("id", "ref", "rows", (F.col("best.id").eqNullSafe(F.col("id")) & (F.col("best.ref") == F.col("ref"))).alias("stays"))
+    judged = cut(judged.select(F.col("id").alias("_id"), F.col("ref").alias("_ref"), "rows", "stays"))
+    is_row = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_ref"))
+    kept = docs.join(broadcast_small(judged.filter("not stays").select("_id", "_ref")), is_row, "left_anti")
+    twins = judged.filter("stays and rows > 1").select("_id", "_ref")
+    if twins.isEmpty():
+        return kept
+    twins = broadcast_small(twins)
+    return kept.join(twins, is_row, "left_anti").union(kept.join(twins, is_row, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_ids, hashed_sample, text_steps
+from .common import broadcast_small, cut, hashed_sample, text_steps
 
 STRIDE, WIDTH, HALF = 4, 8, 256
 
@@ -173,7 +173,8 @@ def train(texts: list[str], labels: list[int], params: QualityParams = QualityPa
 def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> QualityModel | None:
     """Train on about ``rows_per_class`` labelled documents of each class."""
     picked = hashed_sample(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")), "doc_id", "quality", params.rows_per_class)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_ids(picked), "doc_id").select("text", "quality").toPandas()
+    picked = cut(picked)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_small(picked), "doc_id").select("text", "quality").toPandas()
     return train(rows["text"].tolist(), rows["quality"].tolist(), params)
 
 

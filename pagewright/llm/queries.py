@@ -39,29 +39,26 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(read(spark, sf_dir, "documents"))
 
 
+#: What follows ``sets (doc_id, g)``: rows of the joins of similar sets, with the Jaccard to reach in place of ``{t}``.
+_CLASS_SQL = """, lead AS MATERIALIZED (SELECT g, row_number() OVER () AS k, min(doc_id) AS lead, count(*) AS w FROM sets GROUP BY g),
+flat AS (SELECT k, len(g) AS size, unnest(g) AS x FROM lead),
+edge AS MATERIALIZED (
+  SELECT a.k AS a, b.k AS b FROM flat a JOIN flat b ON a.x = b.x AND a.k <> b.k
+  GROUP BY a.k, b.k, a.size, b.size HAVING count(*) / (a.size + b.size - count(*)) >= {t}
+), reach(a, b) AS (SELECT k, k FROM lead UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+class AS (SELECT a AS k, min(lead) AS class_id FROM reach JOIN lead ON b = lead.k GROUP BY 1),
+links AS (SELECT a AS k, sum(w) AS n FROM edge JOIN lead ON edge.b = lead.k GROUP BY 1)
+SELECT doc_id, class_id, (coalesce(n, 0) + w - 1)::BIGINT AS links FROM sets JOIN lead USING (g) JOIN class USING (k) LEFT JOIN links USING (k)
+"""
+
 _OP3_SQL = r"""
-WITH words AS (
-  SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS w FROM documents WHERE text IS NOT NULL
-), sets AS (
-  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+), sets AS MATERIALIZED (
+  SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE [w[i] || ' ' || w[i+1] || ' ' || w[i+2] FOR i IN range(1, len(w) - 1)] END)) AS g
   FROM words WHERE len(w) > 0
-), lead AS (SELECT g, min(doc_id) AS id, count(*) AS copies FROM sets GROUP BY g),
-grams AS (SELECT id, len(g) AS size, unnest(g) AS x FROM lead),
-shared AS (
-  SELECT a.id AS doc_a, b.id AS doc_b, any_value(a.size) AS size_a, any_value(b.size) AS size_b, count(*) AS overlap
-  FROM grams a JOIN grams b ON a.x = b.x AND a.id < b.id GROUP BY ALL
-)
-SELECT doc_a, doc_b, size_a, size_b, overlap, overlap / (size_a + size_b - overlap) AS jaccard FROM shared
-WHERE overlap / (size_a + size_b - overlap) >= 0.6
-UNION ALL
-SELECT DISTINCT l.id, s.doc_id, len(s.g), len(s.g), len(s.g), 1.0::DOUBLE FROM sets s JOIN lead l ON s.g = l.g WHERE s.doc_id > l.id
-"""
-
-
-def op3_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of ``op3_ngram_jaccard_join`` with every copy written out."""
-    return ngram_join.all_pairs(op3_ngram_jaccard_join(spark, sf_dir))
+)""" + _CLASS_SQL.format(t=0.6)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,36 +69,23 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.similar_documents(read(spark, sf_dir, "documents"))
 
 
-def op9_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of ``op9_spotsigs`` with every copy written out."""
-    return ngram_join.all_pairs(op9_spotsigs(spark, sf_dir))
-
-
 def _spot_sql() -> str:
     words = lambda ws: ", ".join(f"'{w}'" for w in dict.fromkeys(ws))
-    return rf"""
-WITH w AS (
-  SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS ws FROM documents WHERE text IS NOT NULL
-), word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM w),
+    return (
+        rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS ws FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+), word AS MATERIALIZED (SELECT r, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM w),
 content AS (
-  SELECT doc_id, x, i, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS y FROM word WHERE x NOT IN ({words(spotsigs.COMMON)})
+  SELECT r, x, i, lead(x) OVER (PARTITION BY r ORDER BY i) AS y FROM word WHERE x NOT IN ({words(spotsigs.COMMON)})
 ), anchor AS (
-  SELECT a.doc_id, a.x, min(c.i) AS at FROM word a JOIN content c ON a.doc_id = c.doc_id AND c.i > a.i
-  WHERE a.x IN ({words(spotsigs.ANCHORS)}) GROUP BY a.doc_id, a.x, a.i
+  SELECT a.r, a.x, min(c.i) AS at FROM word a JOIN content c ON a.r = c.r AND c.i > a.i
+  WHERE a.x IN ({words(spotsigs.ANCHORS)}) GROUP BY a.r, a.x, a.i
 ), sig AS (
-  SELECT DISTINCT a.doc_id, a.x || ' ' || c.x || ' ' || c.y AS s FROM anchor a JOIN content c ON a.doc_id = c.doc_id AND c.i = a.at WHERE c.y IS NOT NULL
-), sets AS (SELECT doc_id, list_sort(list(s)) AS g FROM sig GROUP BY 1),
-lead_ AS (SELECT g, min(doc_id) AS id FROM sets GROUP BY g),
-flat AS (SELECT id, len(g) AS size, unnest(g) AS s FROM lead_),
-shared AS (
-  SELECT a.id AS doc_a, b.id AS doc_b, any_value(a.size) AS size_a, any_value(b.size) AS size_b, count(*) AS overlap
-  FROM flat a JOIN flat b ON a.s = b.s AND a.id < b.id GROUP BY ALL
-)
-SELECT doc_a, doc_b, size_a, size_b, overlap, overlap / (size_a + size_b - overlap) AS jaccard FROM shared
-WHERE overlap / (size_a + size_b - overlap) >= 0.5
-UNION ALL
-SELECT DISTINCT l.id, s.doc_id, len(s.g), len(s.g), len(s.g), 1.0::DOUBLE FROM sets s JOIN lead_ l ON s.g = l.g WHERE s.doc_id > l.id
-"""
+  SELECT DISTINCT a.r, a.x || ' ' || c.x || ' ' || c.y AS s FROM anchor a JOIN content c ON a.r = c.r AND c.i = a.at WHERE c.y IS NOT NULL
+), sets AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM (SELECT r, list_sort(list(s)) AS g FROM sig GROUP BY 1) JOIN w USING (r))"""
+        + _CLASS_SQL.format(t=0.5)
+    )
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,21 +123,12 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_spotsigs": op9_spotsigs,
     "op10_quality_classifier": op10_quality_classifier,
-    "op3_all_pairs": op3_all_pairs,
-    "op9_all_pairs": op9_all_pairs,
 }
 
 
-def _over_all(sql: str, lead: str) -> str:
-    """The SQL of a join over all documents, in place of over the leads."""
-    return sql.replace(f"FROM {lead})", "FROM (SELECT doc_id AS id, g FROM sets))").split("UNION ALL")[0]
-
-
 ORACLE_SQL: dict[str, str] = {
-    "op9_spotsigs": _spot_sql().replace("\\\\x", "\\x"),
+    "op3_ngram_jaccard_join": _OP3_SQL,
     "op7_url_filter": url_filter.oracle_sql(),
     "op8_sharding": _OP8_SQL,
-    "op3_ngram_jaccard_join": _OP3_SQL.replace("\\\\x", "\\x"),
+    "op9_spotsigs": _spot_sql(),
 }
-ORACLE_SQL["op3_all_pairs"] = _over_all(ORACLE_SQL["op3_ngram_jaccard_join"], "lead")
-ORACLE_SQL["op9_all_pairs"] = _over_all(ORACLE_SQL["op9_spotsigs"], "lead_")

@@ -2,11 +2,10 @@
 
 A spot signature is a common word (the anchor) with the chain of content words that follow it; a document
 is the set of its signatures. An inverted index holds each document's rarest signatures, as many as Jaccard
-``threshold`` needs: signatures are ordered by rarity (those of more than ``hot`` documents come last, the most
-frequent at the very end). Each signature's list is partitioned by the length of the sets, and a document
-meets only the partitions that its own length allows; pairs are then pruned by how much overlap the rest of
-the two sets can still add. Nothing that reaches the threshold is lost. What is
-left is compared exactly, with whole sets, within its components.
+``threshold`` needs. Each signature's list is partitioned by the length of the sets, and a document meets only
+those whose length is within the threshold of its own; meetings are then pruned by how much overlap the rest of
+the two sets can still add. What meets is compared exactly, with whole sets. Signatures are counted over all
+documents and nothing that reaches the threshold is lost; :mod:`setjoin` has the steps.
 """
 
 from __future__ import annotations
@@ -19,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_ids, cut, list_column, mix, text_steps
-from .graph import components
-from .setjoin import count_pairs, exact_pairs, product_groups, set_keys, without_copies
+from .common import mix, text_steps
+from .setjoin import classes, index_of
 from .words import _PLACE, word_hashes
 
 ANCHORS = "a an the is are was to der die das ist ein eine zu le la les est un une el los las es una que".split()
@@ -34,15 +32,13 @@ COMMON = ANCHORS + (
 
 @dataclass(frozen=True)
 class SpotParams:
-    """``distance`` content words lie between the links of a chain of ``chain`` words. ``hot_most`` bounds
-    what is broadcast to order signatures; it decides only the order, never the result."""
+    """``distance`` content words lie between the links of a chain of ``chain`` words; ``block`` documents are
+    compared with as many at a time."""
 
     threshold: float = 0.5
     chain: int = 2
     distance: int = 1
-    hot: int = 4
-    hot_most: int = 300_000
-    block: int = 512
+    block: int = 2048
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -75,75 +71,22 @@ def signature_sets(data: np.ndarray, offs: np.ndarray, p: SpotParams) -> list[np
     return [np.unique(sig[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def fingerprints(docs: DataFrame, p: SpotParams = SpotParams()) -> DataFrame:
-    """``(doc_id, size, k1, k2, sigs)`` of every document with a signature."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offs in text_steps(batch.column(1)):
-                sets = signature_sets(data, offs, p)
-                size = np.array([len(s) for s in sets], np.int32)
-                k1, k2 = set_keys(sets)
-                sigs = list_column(np.concatenate(sets).view(np.int64), size, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(k1), pa.array(k2), sigs], ["doc_id", "size", "k1", "k2", "sigs"]).filter(pa.array(size > 0))
-
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).filter("doc_id is not null and text is not null")
-    return base.mapInArrow(run, "doc_id long, size int, k1 long, k2 long, sigs array<long>")
-
-
-def _need(size: np.ndarray | int, t: float):
-    return np.ceil(np.asarray(size) * t - 1e-9).astype(np.int64)
-
-
-def index(lead: DataFrame, p: SpotParams) -> DataFrame:
-    """Postings ``(h, id, size)`` of each document's rarest signatures."""
-    counts = lead.select(F.explode("sigs").alias("s")).groupBy("s").count().filter(F.col("count") > p.hot)
-    top = counts.orderBy(F.desc("count"), "s").limit(p.hot_most).toPandas()
-    order = np.argsort(top["s"].to_numpy(np.int64).view(np.uint64)) if len(top) else np.zeros(0, np.int64)
-    known = top["s"].to_numpy(np.int64).view(np.uint64)[order] if len(top) else np.zeros(0, np.uint64)
-    shared = lead.sparkSession.sparkContext.broadcast((known, top["count"].to_numpy(np.int64)[order] if len(top) else order))
-    t = p.threshold
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, freq = shared.value
-        for batch in batches:
-            ids, size = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-            flat = batch.column(2).flatten().to_numpy().view(np.uint64)
-            doc = np.repeat(np.arange(len(ids)), size)
-            rank = np.zeros(len(flat), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                rank = np.where(known[at] == flat, freq[at], 0)
-            by = np.lexsort((flat, rank, doc))
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            keep = by[place < (size - _need(size, t) + 1)[doc]]
-            for lo in range(0, len(keep), 200_000):
-                k = keep[lo : lo + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(flat[k].view(np.int64)), pa.array(ids[doc[k]]), pa.array(size[doc[k]])], ["h", "id", "size"])
-
-    return lead.select("id", "size", "sigs").mapInArrow(run, "h long, id long, size long")
-
-
 def similar_documents(docs: DataFrame, params: SpotParams = SpotParams()) -> DataFrame:
-    """``(doc_a, doc_b, size_a, size_b, overlap, jaccard)``, ``doc_a < doc_b``, Jaccard from the threshold on.
-
-    Documents of equal signature sets stand as pairs with the lowest doc_id among them, and that one alone
-    is paired with others. Defined results: null doc_ids, null and empty texts and texts without a
-    signature (no anchor, or too few content words after it) have no partner; repeated rows are one
-    document and a repeated doc_id is never its own partner; an empty table gives no pairs; other columns
-    are not read.
+    """``(doc_id, class_id, links)`` for every document: how many others reach Jaccard ``threshold`` with it.
+
+    ``class_id`` is the lowest doc_id that chains of links lead to, the document's own where it has no link. Defined
+    results: a document is a doc_id with a set of signatures, so repeated rows are one document and texts of one
+    doc_id that differ are several, a row and possible partners each; null doc_ids, null and empty texts and texts
+    without a signature (no anchor, or too few content words after it) have no row; a Jaccard equal to the
+    threshold links; an empty table gives no rows; other columns are not read. A doc_id that is no whole number
+    is an error.
     """
-    p, t = params, params.threshold
-    rows = cut(fingerprints(docs.select("doc_id", "text"), p))
-    leads, same = without_copies(rows, ["k1", "k2", "size"], "doc_id")
-    lead = leads.select(F.col("doc_id").alias("id"), "size", "sigs")
-    size = F.col("size").cast("long")
-    copies = same.select(F.col("lead").alias("doc_a"), F.col("doc_id").alias("doc_b"), size.alias("size_a"), size.alias("size_b"), size.alias("overlap"), F.lit(1.0).alias("jaccard"))
-    met = count_pairs(index(lead, p), t)
-    rest = F.ceil(F.greatest("size_a", "size_b") * t - 1e-9) - 1  # what lies outside the index, of the longer set
-    found = met.filter(F.col("n") + rest >= (F.col("size_a") + F.col("size_b")) * (t / (1 + t)) - 1e-9)
-    comp = components(found.select("a", "b"))
-    places = product_groups(comp.join(lead.groupBy("id").agg(F.max("size").alias("size")), "id"), t, p.block)
-    sets = lead.join(broadcast_ids(cut(places)), "id").select("id", F.col("sigs").alias("grams"), F.explode("places").alias("p")).select("p.comp", "p.i", "p.j", "p.block", "id", "grams")
-    pairs = exact_pairs(sets, t)
-    return pairs.groupBy("doc_a", "doc_b").agg(F.max_by(F.struct("size_a", "size_b", "overlap", "jaccard"), "jaccard").alias("x")).select("doc_a", "doc_b", "x.*").union(copies)
+    p = params
+
+    def extract(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, list[np.ndarray], None]]:
+        for lo, hi, data, offs in text_steps(batch.column(2)):
+            yield batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), signature_sets(data, offs, p), None
+
+    rows = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    base = rows.select(F.col("doc_id").cast("long").alias("id"), F.lit(0).cast("long").alias("ref"), F.lower("text").alias("text"))
+    return classes(index_of(base, extract, p.threshold), p.threshold, p.block).select(F.col("id").alias("doc_id"), "class_id", "links")
