@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, broadcast_small, cut, list_column, mix, text_steps
+from .common import U64, broadcast_small, cut, list_column, mix, releasing, text_steps
 from .graph import forest
 from .setjoin import PART_ROWS, by_product, components_of, index_of, overlaps, placed, products, set_keys, with_classes
 from .words import word_hashes
@@ -215,7 +215,7 @@ def fingerprints(media: DataFrame, decoder: Decoder, params: ChromaParams = Chro
                     [x.split()[0] for x in schema.split(", ")],
                 ).filter(pa.array(np.diff(sound[ends]) > 0))
 
-    return media.select(F.col("id").cast("long").alias("id"), "audio").filter("id is not null and audio is not null").mapInArrow(run, schema)
+    return media.select(F.col("id").cast("long").alias("id"), "audio").filter("id is not null and audio is not null").mapInArrow(releasing(run), schema)
 
 
 def print_sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, list[np.ndarray], np.ndarray]]:
@@ -325,7 +325,7 @@ def matched(rows: DataFrame, p: ChromaParams) -> DataFrame:
             a, b, off, overlap, errors = a[by], b[by], off[by], overlap[by], errors[by]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k[a], up[a], links[a], lead[b], off, overlap, errors)], [c.split()[0] for c in _MET.split(", ")])
 
-    return by_product(rows).mapInArrow(run, _MET)
+    return by_product(rows).mapInArrow(releasing(run), _MET)
 
 
 def match_recordings(media: DataFrame, decoder: Decoder, params: ChromaParams = ChromaParams()) -> DataFrame:

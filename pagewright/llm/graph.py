@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, releasing
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +68,7 @@ def components(edges: DataFrame, few: int = 1_000_000) -> DataFrame:
     rounds follows the length of chains. Every round is written to the shared folder. Loops and repeated
     edges change nothing, edges with a null end are ignored, no edges give no rows.
     """
-    thin = cut(edges.filter("a is not null and b is not null and a <> b").select("a", "b").mapInArrow(_forest, "a long, b long"))
+    thin = cut(edges.filter("a is not null and b is not null and a <> b").select("a", "b").mapInArrow(releasing(_forest), "a long, b long"))
     layers: list[DataFrame] = []
     while thin.count() > few:
         both = thin.union(thin.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -76,8 +76,8 @@ def components(edges: DataFrame, few: int = 1_000_000) -> DataFrame:
         layers.append(hook)
         ends = lambda c: hook.select(F.col("id").alias(c), F.col("up").alias(f"up_{c}"))  # noqa: B023, E731
         moved = thin.join(ends("a"), "a").join(ends("b"), "b").select(F.col("up_a").alias("a"), F.col("up_b").alias("b"))
-        thin = cut(moved.filter("a <> b").distinct().mapInArrow(_forest, "a long, b long"))
-    top = cut(thin.coalesce(1).mapInArrow(_labels, "id long, comp long").distinct())
+        thin = cut(moved.filter("a <> b").distinct().mapInArrow(releasing(_forest), "a long, b long"))
+    top = cut(thin.coalesce(1).mapInArrow(releasing(_labels), "id long, comp long").distinct())
     for hook in reversed(layers):
         known = top.select(F.col("id").alias("up"), "comp")
         top = cut(hook.join(known, "up", "left").select("id", F.coalesce("comp", "up").alias("comp")))

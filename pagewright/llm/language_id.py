@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, text_steps
+from .common import hashed_sample, release, releasing, text_steps
 
 ORDERS = (2, 3, 4)
 _K = np.uint32(2654435761)
@@ -220,7 +220,7 @@ def identify(docs: DataFrame, params: LanguageParams = LanguageParams(), model:
             taken = (best < len(model.languages)) & (prob >= model.bar)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best]), pa.array(np.round(prob, 6)), pa.array(taken)], ["doc_id", "lang", "prob", "accepted"])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(releasing(run), schema)
 
 
 def keep_identified(docs: DataFrame, params: LanguageParams = LanguageParams()) -> DataFrame:
@@ -245,6 +245,7 @@ def accept_udf(model: LanguageModel):
         for lo, hi, data, offs in text_steps(text):
             p, count = scores(model, data, offs)
             out[lo:hi] = (count > 0) & (np.round(p.max(1), 6) >= model.bar)
+        release()
         return pa.array(out)
 
     return accepted

@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import releasing
+
 _WORD = re.compile(r"[^\W_]+(?:[.\-+][^\W_]+)*")
 #: A block has one of these; every template has one.
 ANCHORS = r"licen[cs]|copyright|warrant|redistribut|permission[\W_]+is|public[\W_]+domain|\bcc[\W_]+by|\bcc0|\bmpl\b|\bgpl"
@@ -224,4 +226,4 @@ def scan(docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, name, start, end, *rest], [x.split()[0] for x in _SCHEMA.split(", ")])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.lower("text").rlike(ANCHORS))
-    return base.mapInArrow(run, _SCHEMA)
+    return base.mapInArrow(releasing(run), _SCHEMA)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_small, cut, hashed_sample, text_steps
+from .common import broadcast_small, cut, hashed_sample, release, releasing, text_steps
 
 STRIDE, WIDTH, HALF = 4, 8, 256
 
@@ -196,7 +196,7 @@ def classify(docs: DataFrame, labels: DataFrame, params: QualityParams = Quality
             prob = _column(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prob), pa.array((prob >= model.bar) & (prob > 0))], ["doc_id", "prob", "accepted"])
 
-    return base.mapInArrow(run, "doc_id long, prob double, accepted boolean")
+    return base.mapInArrow(releasing(run), "doc_id long, prob double, accepted boolean")
 
 
 def _column(model: QualityModel, text: pa.Array) -> np.ndarray:
@@ -215,6 +215,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, params: QualityParams = Qualit
     @F.arrow_udf("boolean")
     def accepted(text: pa.Array) -> pa.Array:
         prob = _column(model, text)
+        release()
         return pa.array((prob >= model.bar) & (prob > 0))
 
     return docs.filter(accepted(F.col("text")))

@@ -25,6 +25,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import releasing
+
 SPACE = "▁"
 
 
@@ -288,7 +290,7 @@ def encode(docs: DataFrame, params: PieceParams = PieceParams()) -> DataFrame:
                 lo += len(part)
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
+    return base.mapInArrow(releasing(run), "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode(encoded: DataFrame, params: PieceParams = PieceParams()) -> DataFrame:
@@ -300,4 +302,4 @@ def decode(encoded: DataFrame, params: PieceParams = PieceParams()) -> DataFrame
             text = [None if ids is None else c.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(releasing(run), "doc_id long, text string")

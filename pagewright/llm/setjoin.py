@@ -35,11 +35,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, broadcast_small, cut, mix
+from .common import U64, broadcast_small, cut, mix, releasing
 from .graph import components, forest
 
 #: A batch ends after so many entries or rows (and ``PART_ROWS`` at most). What a batch holds of one column beyond ``_OFTEN`` sets is sent as a number.
-_BATCH_ENTRIES, _BATCH_ROWS, _OFTEN = 2_000_000, 40_000, 16
+_BATCH_ENTRIES, _BATCH_ROWS, _OFTEN = 1_200_000, 40_000, 16
 #: Most rows that an ``Extract`` gives at once.
 PART_ROWS = 20_000
 #: Pairs and multiply-adds that one numpy step expands; sets in a column from which on it is linked as a chain.
@@ -171,7 +171,7 @@ def incidence(rows: DataFrame, extract: Extract, buckets: int) -> DataFrame:
         if held[2]:
             yield sent(number, *held)
 
-    return rows.mapInArrow(run, "bucket int, batch long, docs binary, posts binary, keys binary")
+    return rows.mapInArrow(releasing(run), "bucket int, batch long, docs binary, posts binary, keys binary")
 
 
 def counted(sent: DataFrame, buckets: int) -> DataFrame:
@@ -216,7 +216,7 @@ def counted(sent: DataFrame, buckets: int) -> DataFrame:
         for lo, hi in _slices(at):
             yield pa.RecordBatch.from_arrays([pa.array([of[at[lo]]]), pa.nulls(1, pa.binary()), pa.array([pack(g[lo:hi], doc[lo:hi], kind[lo:hi])]), pa.nulls(1, pa.binary())], names)
 
-    return sent.repartitionById(buckets, "bucket").mapInArrow(run, "batch long, docs binary, posts binary, own binary")
+    return sent.repartitionById(buckets, "bucket").mapInArrow(releasing(run), "batch long, docs binary, posts binary, own binary")
 
 
 def _owners(of: list[int], keys: list[list[np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
@@ -290,12 +290,12 @@ def indexed(returned: DataFrame, t: float) -> DataFrame:
         for b in sorted(held):
             yield from rows(*held.pop(b))
 
-    return returned.repartition("batch").mapInArrow(run, _INDEX)
+    return returned.repartition("batch").mapInArrow(releasing(run), _INDEX)
 
 
 def index_of(rows: DataFrame, extract: Extract, t: float) -> DataFrame:
     """Steps 1 to 3, written to the shared folder."""
-    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut(indexed(counted(incidence(rows, extract, buckets), buckets), t))
 
 
@@ -385,7 +385,7 @@ def components_of(index: DataFrame, t: float) -> DataFrame:
 
     posts = index.filter("prefix > 0").select("k", "size", "alone", F.posexplode(F.slice("sig", F.lit(1), F.col("prefix"))).alias("i", "h"))
     posts = posts.select("h", "k", "size", (F.col("alone") + F.col("i")).alias("place")).repartition("h").sortWithinPartitions("h", "size", "k")
-    return components(posts.mapInArrow(run, "a long, b long"))
+    return components(posts.mapInArrow(releasing(run), "a long, b long"))
 
 
 def placed(index: DataFrame, comp: DataFrame, weights: DataFrame, block: int) -> DataFrame:
@@ -502,7 +502,7 @@ def linked(rows: DataFrame, t: float) -> DataFrame:
             if some.any():
                 yield pa.RecordBatch.from_arrays([pa.array(k[some]), pa.array(up[some]), pa.array(links[some])], ["k", "up", "links"])
 
-    return by_product(rows).mapInArrow(run, "k long, up long, links long")
+    return by_product(rows).mapInArrow(releasing(run), "k long, up long, links long")
 
 
 def classes(index: DataFrame, t: float, block: int) -> DataFrame:
