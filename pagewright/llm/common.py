@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
@@ -133,3 +134,17 @@ def broadcast_small(rows: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
             raise TypeError(f"{field.name} has no fixed width")
         width += 8
     return F.broadcast(rows) if rows.count() * width <= most else rows
+
+
+def ranked(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """``rows`` with ``rank``, counted from 0 within each ``key`` by ``order``, written to the shared folder.
+
+    A key with very many rows is ranked in many tasks: rows are sorted by range, each range ranks its own, and what
+    the ranges before hold of the key is added. Rows that are equal in ``order`` should be few.
+    """
+    placed = cut(rows.repartitionByRange(F.col(key), *order).withColumn("_range", F.spark_partition_id()))
+    counts = placed.groupBy(key, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(W.partitionBy(key, "_range").orderBy(*order)).cast("long") - 1
+    both = placed.withColumn("_own", own).join(counts.select(key, "_range", before.alias("_before")), [key, "_range"])
+    return both.withColumn("rank", F.col("_own") + F.col("_before")).drop("_own", "_before", "_range")

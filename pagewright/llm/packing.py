@@ -17,10 +17,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, ranked
 
 
 @dataclass(frozen=True)
@@ -35,39 +34,55 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")).cast("int")
 
 
-def _complement(gap: int, have: np.ndarray, pair: np.ndarray) -> tuple[int, ...] | None:
-    """One to three lengths with documents left that sum to ``gap``, the longest first; None if there are none.
+class SumIndex:
+    """Which lengths, pairs and triples of lengths add up to a sum, under the counts ``have`` that only ever fall.
 
-    ``pair[s]`` is false only where no two lengths with documents left sum to ``s``.
+    ``pairs[s]`` holds the longer lengths of the pairs with sum ``s``, ``triples[s]`` the longest of the triples, both
+    in falling order; a sum is indexed when it is first asked for, and an entry whose documents are used up goes.
     """
-    if have[gap]:
-        return (gap,)
-    two = _pair(gap, have)
-    if two:
-        return two
-    lengths = np.flatnonzero(have[: gap + 1])[::-1]
-    for c in lengths[pair[gap - lengths]].tolist():
-        if c * 3 < gap:
-            break
-        have[c] -= 1
-        rest = _pair(gap - c, have, c)
-        have[c] += 1
-        if rest:
-            return (c, *rest)
-    return None
-
-
-def _pair(total: int, have: np.ndarray, most: int | None = None) -> tuple[int, int] | None:
-    lo = (total + 1) // 2
-    hi = total - 1 if most is None else min(total - 1, most)
-    if hi < lo:
+
+    def __init__(self, have: np.ndarray):
+        self.have = have
+        self.pairs: dict[int, np.ndarray] = {}
+        self.triples: dict[int, np.ndarray] = {}
+        self.lengths = np.flatnonzero(have)[::-1]
+        self.least = np.full(len(have), len(have))  # the least longer length of the pairs with each sum
+        for a in self.lengths.tolist():
+            other = self.lengths[(self.lengths <= a) & (self.lengths < len(have) - a)]
+            self.least[a + other] = a
+
+    def pair(self, total: int, most: int) -> tuple[int, int] | None:
+        """The pair with the longest part up to ``most`` that adds up to ``total``."""
+        if total not in self.pairs:
+            b = self.lengths[(self.lengths < total) & (2 * self.lengths >= total)]
+            self.pairs[total] = b[self.have[total - b] > 0]
+        b = self.pairs[total]
+        if most == total:
+            b = self.pairs[total] = b[(self.have[b] > 0) & (self.have[total - b] > 0)]
+        b = b[(self.have[b] > 0) & (self.have[total - b] > (2 * b == total))]
+        at = len(b) - int(np.searchsorted(b[::-1], most, side="right"))
+        return (int(b[at]), total - int(b[at])) if at < len(b) else None
+
+    def complement(self, gap: int) -> tuple[int, ...] | None:
+        """One to three lengths with documents left that add up to ``gap``, the longest first."""
+        if self.have[gap]:
+            return (gap,)
+        if two := self.pair(gap, gap):
+            return two
+        if gap not in self.triples:
+            c = self.lengths[self.lengths < gap]
+            self.triples[gap] = c[self.least[gap - c] <= c]
+        left = self.triples[gap]
+        for k, c in enumerate(left.tolist()):
+            if self.have[c]:
+                self.have[c] -= 1
+                two = self.pair(gap - c, c)
+                self.have[c] += 1
+                if two:
+                    self.triples[gap] = left[k:]
+                    return (c, *two)
+        self.triples[gap] = left[:0]
         return None
-    b = np.arange(hi, lo - 1, -1)
-    ok = (have[b] > 0) & (have[total - b] > 0)
-    if total % 2 == 0 and lo <= hi:
-        ok[-1] = have[total // 2] > 1
-    at = int(ok.argmax())
-    return (int(b[at]), total - int(b[at])) if ok[at] else None
 
 
 def pack_counts(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -81,15 +96,12 @@ def pack_counts(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int,
     if have[capacity]:
         out.append(((capacity,), int(have[capacity])))
         have[capacity] = 0
-    pair = np.zeros(capacity + 1, bool)  # the index of pair sums: only ever loses entries, so a stale one costs a look
-    lengths = np.flatnonzero(have)
-    for a in lengths:
-        pair[a + lengths[lengths <= capacity - a]] = True
+    index = SumIndex(have)
     left: list[tuple[int, int]] = []
     for a in range(capacity - 1, 0, -1):
         while have[a]:
             have[a] -= 1
-            combo = _complement(capacity - a, have, pair)
+            combo = index.complement(capacity - a)
             have[a] += 1
             if combo is None:
                 left.append((a, int(have[a])))
@@ -147,9 +159,10 @@ def pack(docs: DataFrame, params: PackParams = PackParams(), tokens: Column | No
     n = (word_count(F.col("text")) if tokens is None else tokens).cast("long")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n")).filter("n > 0")
     pieces = sized.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / cap))).alias("piece"), "n").select("doc_id", F.col("piece").cast("int").alias("piece"), F.least(F.lit(cap), F.col("n") - F.col("piece") * cap).cast("int").alias("tokens"))
-    pieces = cut(pieces)
+    pieces = cut(pieces.withColumn("_row", F.monotonically_increasing_id()))
+    pieces = ranked(pieces, "tokens", [F.col("doc_id").asc_nulls_last(), F.col("piece"), F.col("_row")])
     spark = docs.sparkSession
-    counts = {r["tokens"]: r["count"] for r in pieces.groupBy("tokens").count().collect()}
+    counts = {r["tokens"]: r["count"] for r in pieces.groupBy("tokens").agg((F.max("rank") + 1).alias("count")).collect()}
     slots, sequence, taken = [], 0, dict.fromkeys(counts, 0)
     for lens, times in pack_counts(counts, cap):
         start, seen = 0, {}
@@ -164,10 +177,9 @@ def pack(docs: DataFrame, params: PackParams = PackParams(), tokens: Column | No
         sequence += times
     names = ["tokens", "first", "ranks", "per", "j", "sequence0", "position", "start"]
     table = spark.createDataFrame(pd.DataFrame(slots, columns=names).astype("int64"), schema=", ".join(f"{x} long" for x in names))
-    ranked = pieces.withColumn("rank", F.row_number().over(W.partitionBy("tokens").orderBy(F.col("doc_id").asc_nulls_last(), "piece")).cast("long") - 1)
     # a slot covers a range of ranks; an index by runs of ranks keeps the join an equality
     hit = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("ranks")) & ((F.col("rank") - F.col("first")) % F.col("per") == F.col("j"))
     step = F.lit(1024).cast("long")
     keyed = table.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / step), F.floor((F.col("first") + F.col("ranks") - 1) / step))))
-    placed = ranked.withColumn("bucket", F.floor(F.col("rank") / step)).join(keyed.withColumn("tokens", F.col("tokens").cast("int")), ["tokens", "bucket"]).filter(hit)
+    placed = pieces.withColumn("bucket", F.floor(F.col("rank") / step)).join(keyed.withColumn("tokens", F.col("tokens").cast("int")), ["tokens", "bucket"]).filter(hit)
     return placed.select("doc_id", "piece", "tokens", (F.col("sequence0") + F.floor((F.col("rank") - F.col("first")) / F.col("per"))).cast("long").alias("sequence"), F.col("position").cast("int").alias("position"), F.col("start").cast("int").alias("start"))
