@@ -3,7 +3,8 @@
 1. A URL becomes its host and a row of tokens: path segments (numbers, hexadecimal ids, UUIDs and dates by
    their class, file endings kept) and the set of its query keys. Equal rows are counted once.
 2. From the root down, children of a node with too few pages to be judged by themselves are variable: they
-   become one wildcard. Every other child stays a branch of its own, however small its share of the node.
+   become one wildcard. Every other child stays a branch of its own, however small its share of the node. A branch
+   is followed as deep as it has enough pages; from there on it is one tail ``**``.
 3. From the leaves up, branches that differ in one token and whose share of good labels doesn't differ from
    that of all of them together (a z test) are merged; more than ``most_names`` under one name are ``{*}``.
 4. Each template's purity is its share of good labels, smoothed by its host's, which is smoothed by that of
@@ -24,13 +25,10 @@ from .common import cut
 
 @dataclass(frozen=True)
 class UrlParams:
-    """A template has ``depth`` segments, further ones are one tail ``**``. A literal segment needs
-    ``min_pages`` pages; ``min_share`` is read by :func:`oracle_sql` alone. ``z`` bounds the deviation of
-    branches that merge, ``strength`` is how many labels the smoothing counts for."""
+    """A literal segment, and a branch that is followed further, needs ``min_pages`` pages. ``z`` bounds the deviation
+    of branches that merge, ``strength`` is how many labels the smoothing counts for."""
 
-    depth: int = 6
     min_pages: int = 3
-    min_share: float = 0.05
     z: float = 2.0
     strength: float = 10.0
     least_purity: float = 0.5
@@ -60,12 +58,11 @@ def tokens(pages: DataFrame, p: UrlParams) -> DataFrame:
     part = lambda k: F.regexp_extract(url, _URL, k)
     host = F.nullif(F.regexp_replace(F.lower(part(1)), "^.*@|:[0-9]*$", ""), F.lit(""))
     segs = F.filter(F.split(part(2), "/"), lambda x: x != "")
-    path = F.transform(F.slice(segs, 1, p.depth), _segment)
-    tail = F.when(F.size(segs) > p.depth, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>"))
+    path = F.transform(segs, _segment)
     keys = F.transform(F.split(part(4), "&"), lambda x: F.lower(F.split(x, "=")[0]))
     keys = F.array_sort(F.array_distinct(F.filter(keys, lambda x: (x != "") & ~x.startswith("utm_"))))
     query = F.array(F.concat(F.lit("?"), F.array_join(keys, "&")))
-    out = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.concat(path, tail, query).alias("tokens"))
+    out = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.concat(path, query).alias("tokens"))
     return out.select("page_id", "host", F.when(F.col("host").isNotNull(), F.array_join("tokens", "/")).alias("raw"), "tokens")
 
 
@@ -74,16 +71,25 @@ def _set(row: str, at: int, value: Column) -> Column:
     return F.transform(row, lambda x, i: F.when(i == at, value).otherwise(x))
 
 
-def generalise(rows: DataFrame, p: UrlParams, levels: int) -> DataFrame:
-    """``rows (host, raw, tokens, n, ...)`` with ``cur``: tokens that are variable among their siblings as wildcards."""
-    rows = rows.withColumn("cur", F.col("tokens"))
-    for d in range(levels):
-        at = rows.withColumn("seg", F.get("cur", F.lit(d))).withColumn("prefix", F.array_join(F.slice("cur", 1, d), "/"))
-        child = at.filter("seg is not null").groupBy("host", "prefix", "seg").agg(F.sum("n").alias("n"))
-        rare = child.filter(~F.col("seg").rlike(_FIXED) & (F.col("n") < p.min_pages)).select("host", "prefix", "seg", F.lit(True).alias("rare"))
+def generalise(rows: DataFrame, p: UrlParams) -> tuple[DataFrame, int]:
+    """``rows (host, raw, tokens, n, ...)`` with ``cur``: tokens that are variable among their siblings as wildcards and
+    branches of few pages cut to a tail; and the depth of the deepest branch that is left."""
+    rows = cut(rows.withColumn("cur", F.col("tokens")))
+    d = 0
+    while True:
+        at = rows.withColumn("prefix", F.array_join(F.slice("cur", 1, d), "/"))
+        node = at.filter(F.size("cur") > d).groupBy("host", "prefix", F.get("cur", F.lit(d)).alias("seg")).agg(F.sum("n").alias("n"))
+        node = cut(node.filter(F.col("seg") != "**"))
+        if node.isEmpty():
+            return rows, d
+        few = node.groupBy("host", "prefix").agg(F.sum("n").alias("all")).filter(F.col("all") < p.min_pages).select("host", "prefix", F.lit(True).alias("few"))
+        rare = node.filter(~F.col("seg").rlike(_FIXED) & (F.col("n") < p.min_pages)).select("host", "prefix", "seg", F.lit(True).alias("rare"))
         wild = F.concat(F.lit("*"), F.regexp_extract("seg", f"({_ENDING})", 1))
-        rows = cut(at.join(rare, ["host", "prefix", "seg"], "left").withColumn("cur", F.when(F.col("rare"), _set("cur", d, wild)).otherwise(F.col("cur"))).select(*rows.columns))
-    return rows
+        told = at.withColumn("seg", F.get("cur", F.lit(d))).join(few, ["host", "prefix"], "left").join(rare, ["host", "prefix", "seg"], "left")
+        tail = F.concat(F.slice("cur", 1, d), F.array(F.lit("**")))
+        told = told.withColumn("cur", F.when(F.col("few") & (F.size("cur") > d), tail).when(F.col("rare"), _set("cur", d, wild)).otherwise(F.col("cur")))
+        rows = cut(told.select(*rows.columns))
+        d += 1
 
 
 def merge(rows: DataFrame, p: UrlParams, levels: int) -> DataFrame:
@@ -123,8 +129,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, params: UrlParams = UrlPara
     rows = cut(
         toks.filter("host is not null").join(marks, "page_id", "left").groupBy("host", "raw").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     )
-    levels = rows.agg(F.max(F.size("tokens"))).first()[0] or 0
-    rows = generalise(rows, p, levels)
+    rows, levels = generalise(rows, p)
     known = merge(rows.groupBy("host", "cur").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "good"))), p, levels)
     s = p.strength
     total = known.agg(F.try_divide(F.sum("good"), F.sum("labelled")).alias("overall"))
@@ -138,11 +143,11 @@ def filter_urls(pages: DataFrame, labels: DataFrame, params: UrlParams = UrlPara
     return out.select("page_id", "host", "template", "labelled", "purity", (F.col("host").isNotNull() & F.coalesce(F.col("purity") >= p.least_purity, F.lit(True))).alias("kept"))
 
 
-def oracle_sql(params: UrlParams = UrlParams()) -> str:
+def oracle_sql(params: UrlParams = UrlParams(), levels: int = 8) -> str:
     """DuckDB SQL for the rows of :func:`filter_urls` over ``pages`` and ``labels``.
 
-    It still takes a segment under ``min_share`` of its parent's pages as rare, so it stands for the rows only
-    where each literal segment with ``min_pages`` pages has that share, as in the tables at hand.
+    Its steps are written out, so it stands for the rows where no branch of ``min_pages`` pages is deeper than
+    ``levels``; those of the tables at hand end at three.
     """
     p, s = params, params.strength
     stem, ending = f"regexp_replace(s, '{_ENDING}', '')", f"regexp_extract(s, '({_ENDING})', 1)"
@@ -156,19 +161,17 @@ WITH u AS (
     list_sort(list_distinct(list_filter(list_transform(string_split(regexp_extract(trim(url), '{_URL}', 4), '&'), lambda x: lower(string_split(x, '=')[1])), lambda x: x <> '' AND NOT starts_with(x, 'utm_')))) AS keys
   FROM pages
 ), toks AS MATERIALIZED (
-  SELECT page_id, host, list_concat(list_concat([{token} FOR s IN list_transform(segs[1:{p.depth}], lambda x: lower(x))], CASE WHEN len(segs) > {p.depth} THEN ['**'] ELSE []::VARCHAR[] END), ['?' || array_to_string(keys, '&')]) AS t FROM u
+  SELECT page_id, host, list_concat([{token} FOR s IN list_transform(segs, lambda x: lower(x))], ['?' || array_to_string(keys, '&')]) AS t FROM u
 ), marks AS (
   SELECT doc_id AS page_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1
 ), g0 AS MATERIALIZED (
   SELECT host, t AS raw, t AS cur, count(*) AS n, count(good) AS labelled, coalesce(sum(good), 0) AS good FROM toks LEFT JOIN marks USING (page_id) WHERE host IS NOT NULL GROUP BY ALL
 )"""
-    levels = p.depth + 2
     for d in range(levels):
         out += rf""", a{d} AS (SELECT *, cur[{d + 1}] AS seg, array_to_string(cur[1:{d}], '/') AS prefix FROM g{d}),
-c{d} AS (SELECT host, prefix, seg, sum(n) AS n FROM a{d} WHERE seg IS NOT NULL GROUP BY ALL),
-r{d} AS MATERIALIZED (SELECT host, prefix, seg, TRUE AS rare FROM (SELECT *, sum(n) OVER (PARTITION BY host, prefix) AS total FROM c{d})
-  WHERE NOT regexp_matches(seg, '{_FIXED}') AND (n < {p.min_pages} OR n < total * {p.min_share}::DOUBLE)),
-g{d + 1} AS MATERIALIZED (SELECT host, raw, CASE WHEN rare THEN {put("cur", d, f"'*' || regexp_extract(seg, '({_ENDING})', 1)")} ELSE cur END AS cur, n, labelled, good FROM a{d} LEFT JOIN r{d} USING (host, prefix, seg))"""
+c{d} AS (SELECT host, prefix, seg, sum(n) AS n FROM a{d} WHERE seg IS NOT NULL AND seg <> '**' GROUP BY ALL),
+r{d} AS MATERIALIZED (SELECT host, prefix, seg, NOT regexp_matches(seg, '{_FIXED}') AND n < {p.min_pages} AS rare, sum(n) OVER (PARTITION BY host, prefix) < {p.min_pages} AS few FROM c{d}),
+g{d + 1} AS MATERIALIZED (SELECT host, raw, CASE WHEN few THEN list_concat(cur[1:{d}], ['**']) WHEN rare THEN {put("cur", d, f"'*' || regexp_extract(seg, '({_ENDING})', 1)")} ELSE cur END AS cur, n, labelled, good FROM a{d} LEFT JOIN r{d} USING (host, prefix, seg))"""
     out += f", m{levels} AS MATERIALIZED (SELECT host, cur, cur AS template, sum(n) AS n, sum(labelled) AS labelled, sum(good) AS good FROM g{levels} GROUP BY ALL)"
     for d in reversed(range(levels)):
         out += f""", n{d} AS (SELECT host, template, sum(labelled) AS labelled, sum(good) AS good, template[{d + 1}] AS seg, array_to_string({put("template", d, "chr(9)")}, '/') AS rest FROM m{d + 1} WHERE len(template) > {d} GROUP BY ALL),
