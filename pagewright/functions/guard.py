@@ -1,13 +1,15 @@
 """Prompt-injection guard: signals, redaction and clean-up of crawled text as SQL expressions.
 
-Patterns are put together from word lists. Text is tested as it is in lower case and, where it has other than
-ASCII, in its NFKC form, which needs the one Arrow function here.
+Patterns are put together from word lists. Text is tested as it is in lower case and in its normal form; only text
+with characters that have another NFKC form needs the one Arrow function here.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -32,30 +34,35 @@ _NEAR = "[^\\n\\r\\x{2028}\\x{2029}]{0,40}"
 _RUN = "[A-Za-z0-9+/]"
 _OVERRIDE = _any("disregard forget ignore override") + f"{_WS}+(?:all{_WS}+)?(?:{_any('my the these those your')}|any{_WS}+)?{_WS}*" + _any("above developer earlier initial original previous prior system") + f"?{_WS}*" + _any("directives? instructions? prompts? rules?")
 _EXFIL = _any("display dump expose leak reveal show") + f"{_WS}+(?:the{_WS}+)?" + _any("developer hidden internal system") + f"{_WS}+" + _any("instructions? message prompt")
-_ROLE = "(?<!" + EDGE + _any("an? her his its my new our that the their this your") + f"{_WS})(?:^|{EDGE})" + _any("assistant developer system") + f"{_WS}*:{_WS}*"
+_ROLE = "(?=[ads])(?<!" + EDGE + _any("an? her his its my new our that the their this your") + f"{_WS})(?:^|{EDGE})" + _any("assistant developer system") + f"{_WS}*:{_WS}*"
 _SENT = f"(?:https?://|{EDGE}to{_WS}+(?:[a-z0-9._%+-]+@)?(?:[a-z0-9-]+[.])+[a-z]{{2,}})"
 _TOOL = f"(?:exfiltrat[A-Za-z0-9_]*{_NEAR}{_SECRET}|{_any('email mail post send transmit upload')}{_NEAR}{_SECRET}{_NEAR}{_SENT})"
 _FILES = "(?:[.]env" + EDGE + "|id_ed25519|id_rsa|" + EDGE + "passwd" + EDGE + "|[.]pem" + EDGE + "|[~/][^\\s]{0,40}(?:credential|secret))"
 _LOCAL = _any("cat curl open read wget") + f"{_WS}+{_NEAR}{_FILES}"
-_ENCODED = f"(?:(?={_RUN}*[A-Za-z])(?={_RUN}*[0-9]){_RUN}{{80,}}={{0,2}}|{_RUN}{{80,}}={{1,2}})"
+_ENCODED = f"(?<!{_RUN})(?:(?={_RUN}*[A-Za-z])(?={_RUN}*[0-9]){_RUN}{{80,}}={{0,2}}|{_RUN}{{80,}}={{1,2}})"
 
 
 @dataclass(frozen=True)
 class Pattern:
+    """``needs``: lists of words; a lower-case text that matches ``source`` holds a word of every list."""
+
     id: str
     severity: str
     label: str
     source: str
+    needs: tuple[str, ...]
 
 
+_SECRETS = "api cookie credential password secret session token"
 PATTERNS = (
-    Pattern("direct-override", "high", "Direct instruction override", _OVERRIDE),
-    Pattern("system-prompt-exfil", "high", "System prompt exfiltration", _EXFIL),
-    Pattern("role-spoofing", "medium", "Role spoofing payload", _ROLE),
-    Pattern("tool-exfiltration", "high", "Credential/tool exfiltration", _TOOL),
-    Pattern("local-secret-access", "high", "Local secret access request", _LOCAL),
-    Pattern("encoded-payload", "medium", "Long encoded payload block", _ENCODED),
+    Pattern("direct-override", "high", "Direct instruction override", _OVERRIDE, ("disregard forget ignore override", "directive instruction prompt rule")),
+    Pattern("system-prompt-exfil", "high", "System prompt exfiltration", _EXFIL, ("display dump expose leak reveal show", "developer hidden internal system", "instruction message prompt")),
+    Pattern("role-spoofing", "medium", "Role spoofing payload", _ROLE, (":", "assistant developer system")),
+    Pattern("tool-exfiltration", "high", "Credential/tool exfiltration", _TOOL, (_SECRETS, "exfiltrat mail post send transmit upload")),
+    Pattern("local-secret-access", "high", "Local secret access request", _LOCAL, (".env id_ed25519 id_rsa passwd .pem credential secret", "cat curl open read wget")),
+    Pattern("encoded-payload", "medium", "Long encoded payload block", _ENCODED, ()),
 )
+_LONG_RUN = "[a-z0-9+/]{80}"
 URL_RE = f"(?i){EDGE}(?:https?://|data:)[^\\s\"'<>)\\]]+"
 
 
@@ -64,10 +71,32 @@ def _nfkc(column: pa.Array) -> pa.Array:
     return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in column.to_pylist()], pa.string())
 
 
+def _stable() -> str:
+    """Ranges of a character class: what NFKC leaves as it is, whatever stands beside it."""
+    blocks = ((0, 0x24F), (0x370, 0x52F), (0x5D0, 0x5EA), (0x621, 0x64A), (0x2010, 0x205E), (0x20A0, 0x20BF), (0x2190, 0x21FF), (0x2500, 0x25FF), (0x3001, 0x303F), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+    runs: list[list[int]] = []
+    for lo, hi in blocks:
+        for c in range(lo, hi + 1):
+            if unicodedata.combining(chr(c)) or unicodedata.normalize("NFKC", chr(c)) != chr(c):
+                continue
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs)
+
+
+STABLE = _stable()
+
+
+def _odd(text: Column) -> Column:
+    return text.rlike(r"[^\x00-\x7F]") & text.rlike(f"[\\x{{80}}-\\x{{10FFFF}}&&[^{STABLE}]]")
+
+
 def nfkc(text: Column) -> Column:
-    """Compatibility form; pure ASCII doesn't change and isn't sent to Python."""
-    plain = ~text.rlike(r"[^\x00-\x7F]")
-    return F.when(plain, text).otherwise(_nfkc(F.when(~plain, text)))
+    """Compatibility form; text of characters that have no other isn't sent to Python."""
+    odd = _odd(text)
+    return F.when(~odd, text).otherwise(_nfkc(F.when(odd, text)))
 
 
 def trim(text: Column) -> Column:
@@ -90,24 +119,51 @@ def _match(text: Column, source: str) -> Column:
     return F.nullif(F.regexp_extract(text, f"(?i)({source})", 1), F.lit(""))
 
 
+def _gate(low: Column, p: Pattern) -> Column:
+    """A cheap test that lower-case text passes wherever the pattern matches it."""
+    if not p.needs:
+        return low.rlike(_LONG_RUN)
+    return reduce(and_, (reduce(or_, (F.contains(low, F.lit(w)) for w in words.split())) for words in p.needs))
+
+
+_SIGNALS = "array<struct<id:string,severity:string,label:string,match:string>>"
+
+
 def signals(text: Column) -> Column:
     """``array<struct<id, severity, label, match>>``, one of each pattern at most, in their order.
 
     A match is taken from the text itself in lower case, else from its normal form, and cut to 140 characters.
-    A null text has no signal.
+    A null text has no signal. A pattern is only tried on a form that has the words it can't do without. Unless
+    characters have another compatibility form, the words of the normal form are in the text too, so the normal
+    form of text without such words is never made.
     """
-    free = strip_urls(text)
-    forms = F.struct(F.lower(text).alias("own"), F.lower(_squeezed(nfkc(text))).alias("normal"), F.lower(free).alias("own_free"), F.lower(_squeezed(nfkc(free))).alias("normal_free"))
+    odd = _odd(text)
+    known = F.struct(text.alias("text"), F.lower(text).alias("low"), odd.alias("odd"), _nfkc(F.when(odd, text)).alias("nf"), _nfkc(F.when(odd, strip_urls(text))).alias("nf_free"))
+
+    def gated(f: Column) -> Column:
+        gates = F.struct(*(_gate(f["low"], p).alias(p.id) for p in PATTERNS))
+        return let(gates, lambda g: F.when(f["odd"] | reduce(or_, (g[p.id] for p in PATTERNS)), found(f, g)).otherwise(F.array().cast(_SIGNALS)))
 
-    def hits(f: Column) -> Column:
-        def hit(p: Pattern) -> Column:
-            end = "_free" if p.id == "encoded-payload" else ""
-            return F.coalesce(_match(f[f"own{end}"], p.source), _match(f[f"normal{end}"], p.source))
+    def found(f: Column, g: Column) -> Column:
+        run = f["odd"] | g["encoded-payload"]
+        forms = F.struct(
+            F.lower(_squeezed(F.coalesce(f["nf"], f["text"]))).alias("normal"), F.when(run, F.lower(strip_urls(f["text"]))).alias("own_free"),
+            F.when(run, F.lower(_squeezed(F.coalesce(f["nf_free"], strip_urls(f["text"]))))).alias("normal_free"),
+        )
 
-        return F.filter(F.array(*(F.struct(F.lit(p.id).alias("id"), F.lit(p.severity).alias("severity"), F.lit(p.label).alias("label"), hit(p).alias("match")) for p in PATTERNS)), lambda x: x["match"].isNotNull())
+        def hits(n: Column) -> Column:
+            def hit(p: Pattern) -> Column:
+                own, normal = (n["own_free"], n["normal_free"]) if not p.needs else (f["low"], n["normal"])
+                may = g[p.id] | (f["odd"] & _gate(normal, p))
+                return F.coalesce(F.when(g[p.id], _match(own, p.source)), F.when(may, _match(normal, p.source)))
+
+            made = F.array(*(F.struct(F.lit(p.id).alias("id"), F.lit(p.severity).alias("severity"), F.lit(p.label).alias("label"), hit(p).alias("match")) for p in PATTERNS))
+            return F.filter(made, lambda x: x["match"].isNotNull())
+
+        return let(forms, hits)
 
     short = lambda m: F.when(F.length(m) > 140, F.concat(F.substring(m, 1, 140), F.lit("..."))).otherwise(m)
-    return F.transform(let(forms, hits), lambda x: F.struct(x["id"].alias("id"), x["severity"].alias("severity"), x["label"].alias("label"), short(x["match"]).alias("match")))
+    return F.transform(let(known, gated), lambda x: F.struct(x["id"].alias("id"), x["severity"].alias("severity"), x["label"].alias("label"), short(x["match"]).alias("match")))
 
 
 def sanitized(text: Column, most: int = 20_000) -> Column:
@@ -115,18 +171,16 @@ def sanitized(text: Column, most: int = 20_000) -> Column:
 
     Only patterns that were raised are redacted, one after the other, each over what the last one left.
     """
-    known = F.array(*(F.struct(F.lit(p.id).alias("id"), F.lit(f"(?i){p.source}").alias("source")) for p in PATTERNS))
-    start = F.struct(F.regexp_replace(F.regexp_replace(text, CONTROL, " "), "\r", "\n").alias("t"), F.lit(0).alias("n"))
-
-    def redact(acc: Column, p: Column) -> Column:
-        return F.struct(F.regexp_replace(acc["t"], p["source"], F.lit(TOKEN)).alias("t"), (acc["n"] + F.regexp_count(acc["t"], p["source"])).alias("n"))
+    start = F.struct(F.replace(F.regexp_replace(text, CONTROL, " "), F.lit("\r"), F.lit("\n")).alias("t"), F.lit(0).alias("n"))
 
-    def tidy(acc: Column) -> Column:
-        return F.struct(trim(F.regexp_replace(F.regexp_replace(acc["t"], "[ \t]+\n", "\n"), "\n{3,}", "\n\n")).alias("t"), acc["n"].alias("n"))
+    def redact(acc: Column, p: Pattern, found: Column) -> Column:
+        source = f"(?i){p.source}"
+        raised = F.array_contains(found["id"], p.id)
+        return let(acc, lambda a: F.when(raised, F.struct(F.regexp_replace(a["t"], source, TOKEN).alias("t"), (a["n"] + F.regexp_count(a["t"], F.lit(source))).alias("n"))).otherwise(a))
 
     def finish(found: Column) -> Column:
-        raised = F.filter(known, lambda p: F.array_contains(F.transform(found, lambda x: x["id"]), p["id"]))
-        done = F.aggregate(raised, start, redact, tidy)
-        return let(done, lambda d: F.struct(found.alias("signals"), F.length(text).alias("original_length"), d["n"].alias("redaction_count"), (F.length(d["t"]) > most).alias("truncated"), F.when(F.length(d["t"]) > most, F.concat(F.substring(d["t"], 1, most), F.lit("\n[TRUNCATED]"))).otherwise(d["t"]).alias("text")))
+        done = F.when(F.size(found) > 0, reduce(lambda acc, p: redact(acc, p, found), PATTERNS, start)).otherwise(start)
+        tidy = lambda d: F.struct(trim(F.regexp_replace(F.regexp_replace(d["t"], "[ \t]+\n", "\n"), "\n{3,}", "\n\n")).alias("t"), d["n"].alias("n"))
+        return let(let(done, tidy), lambda d: F.struct(found.alias("signals"), F.length(text).alias("original_length"), d["n"].alias("redaction_count"), (F.length(d["t"]) > most).alias("truncated"), F.when(F.length(d["t"]) > most, F.concat(F.substring(d["t"], 1, most), F.lit("\n[TRUNCATED]"))).otherwise(d["t"]).alias("text")))
 
     return let(let(signals(text), finish), lambda g: F.struct(g["signals"].alias("signals"), g["original_length"].alias("original_length"), F.length(g["text"]).alias("sanitized_length"), g["truncated"].alias("truncated"), g["redaction_count"].alias("redaction_count"), g["text"].alias("text")))

@@ -72,31 +72,37 @@ def _linked(label: str, node: Node) -> str:
     return f"[{label}]({href})" if href else label
 
 
+_MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*"}
+
+
 def inline(node: Node) -> str:
-    parts: list[str] = []
-    for child in node.children:
-        name = child.name
-        if not name:
-            parts.append(_escape(_collapse(child.text)))
-        elif name in CHROME:
-            continue
-        elif name == "img":
-            parts.append(_image(child))
-        elif name == "br":
-            parts.append(" ")
-        elif name == "code":
-            if text := strip(child.string(CHROME)):
-                parts.append(f"`{text}`")
-        else:
-            text = inline(child)
-            mark = {"strong": "**", "b": "**", "em": "*", "i": "*"}.get(name)
-            if name == "a":
-                parts.append(_linked(text, child) if text else "")
-            elif mark:
-                parts.append(mark + text + mark if text else "")
+    """The text of ``node`` on one line, with its emphasis, code, links and images."""
+    stack = [(node, iter(node.children), [])]
+    while True:
+        at, left, parts = stack[-1]
+        for child in left:
+            name = child.name
+            if not name:
+                parts.append(_escape(_collapse(child.text)))
+            elif name in CHROME:
+                continue
+            elif name == "img":
+                parts.append(_image(child))
+            elif name == "br":
+                parts.append(" ")
+            elif name == "code":
+                if text := strip(child.string(CHROME)):
+                    parts.append(f"`{text}`")
             else:
-                parts.append(text)
-    return strip(_collapse("".join(parts)))
+                stack.append((child, iter(child.children), []))
+                break
+        else:
+            stack.pop()
+            text = strip(_collapse("".join(parts)))
+            if not stack:
+                return text
+            mark = _MARKS.get(at.name, "")
+            stack[-1][2].append(_linked(text, at) if text and at.name == "a" else mark + text + mark if text else "")
 
 
 def _table(node: Node) -> str:
@@ -123,50 +129,50 @@ def _hidden(node: Node, top: Node) -> bool:
     return False
 
 
-def _blocks(node: Node, out: list[str]) -> None:
-    for child in node.children:
-        name = child.name
-        if not name:
-            if text := strip(_collapse(child.text)):
-                out.append(_escape(text))
-            continue
-        if name in CHROME or name == "br":
-            continue
-        if name == "hr":
-            block = "---"
-        elif re.fullmatch("h[1-6]", name):
-            block = inline(child)
-            block = block and "#" * int(name[1]) + " " + block
-        elif name == "p":
-            block = inline(child)
-        elif name == "blockquote":
-            block = inline(child)
-            block = block and f"> {block}"
-        elif name in ("ol", "ul"):
-            items = [(k, inline(li)) for k, li in enumerate((c for c in child.children if c.name == "li"), 1)]
-            block = "\n".join(f"{f'{k}.' if name == 'ol' else '-'} {text}" for k, text in items if text)
-        elif name == "table":
-            block = _table(child)
-        elif name == "pre":
-            code = child.string(CHROME).rstrip(_JS_SPACE)
-            block = f"```\n{code}\n```" if strip(code) else ""
-        elif name == "a":
-            text = inline(child)
-            block = text and _linked(text, child)
-        elif name == "img":
-            block = _image(child)
-        else:
-            _blocks(child, out)
-            continue
+_HEADING = re.compile("h[1-6]")
+
+
+def _block(node: Node) -> str | None:
+    """The Markdown of a block, None for an element whose children are blocks of their own."""
+    name = node.name
+    if not name:
+        return _escape(strip(_collapse(node.text)))
+    if name in CHROME or name == "br":
+        return ""
+    if name == "hr":
+        return "---"
+    if name in ("p", "blockquote") or _HEADING.fullmatch(name):
+        text = inline(node)
+        return text and ({"p": "", "blockquote": "> "}[name] if name in ("p", "blockquote") else "#" * int(name[1]) + " ") + text
+    if name in ("ol", "ul"):
+        items = [(k, inline(li)) for k, li in enumerate((c for c in node.children if c.name == "li"), 1)]
+        return "\n".join(f"{f'{k}.' if name == 'ol' else '-'} {text}" for k, text in items if text)
+    if name == "table":
+        return _table(node)
+    if name == "pre":
+        code = node.string(CHROME).rstrip(_JS_SPACE)
+        return f"```\n{code}\n```" if strip(code) else ""
+    if name == "a":
+        text = inline(node)
+        return text and _linked(text, node)
+    return _image(node) if name == "img" else None
+
+
+def _blocks(node: Node) -> list[str]:
+    out, stack = [], node.children[::-1]
+    while stack:
+        child = stack.pop()
+        block = _block(child)
         if block:
             out.append(block)
+        elif block is None:
+            stack.extend(reversed(child.children))
+    return out
 
 
 def to_markdown(doc: Node, most: int | None = None) -> str:
     """The main region as Markdown, blocks a blank line apart, without chrome."""
-    out: list[str] = []
-    _blocks(main_region(doc), out)
-    text = strip(re.sub(r"\n{3,}", "\n\n", "\n\n".join(out)))
+    text = strip(re.sub(r"\n{3,}", "\n\n", "\n\n".join(_blocks(main_region(doc)))))
     return text[:most] + "\n[TRUNCATED]" if most and len(text) > most else text
 
 

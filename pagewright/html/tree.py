@@ -25,6 +25,80 @@ _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _ATTR = re.compile(r"""\s*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?|\s*/""")
 
 
+def _last_place(nodes: list, node) -> int:
+    """Where ``node`` is in ``nodes``, looked for from the end."""
+    at = len(nodes) - 1
+    while nodes[at] is not node:
+        at -= 1
+    return at
+
+
+def _kind(node) -> tuple | None:
+    return node and (node.name, frozenset(node.attrs.items()))
+
+
+class _Stack(list):
+    """A list of nodes that knows what it holds, and how many by name (markers, None, have no name); with ``kinds``
+    also how many by name and attributes."""
+
+    def __init__(self, nodes=(), kinds: bool = False):
+        super().__init__()
+        self.kinds = kinds
+        self.names: dict = {}
+        self.ids: dict[int, int] = {}
+        for node in nodes:
+            self.append(node)
+
+    def _count(self, node, n: int) -> None:
+        for name in (node and node.name, _kind(node)) if self.kinds else (node and node.name,):
+            self.names[name] = self.names.get(name, 0) + n
+        left = self.ids.get(id(node), 0) + n
+        if left:
+            self.ids[id(node)] = left
+        else:
+            del self.ids[id(node)]
+
+    def has(self, *names: str) -> bool:
+        return any(self.names.get(n) for n in names)
+
+    def __contains__(self, node) -> bool:
+        return id(node) in self.ids
+
+    def append(self, node) -> None:
+        super().append(node)
+        self._count(node, 1)
+
+    def insert(self, at: int, node) -> None:
+        super().insert(at, node)
+        self._count(node, 1)
+
+    def pop(self):
+        node = super().pop()
+        self._count(node, -1)
+        return node
+
+    def index(self, node) -> int:
+        return _last_place(self, node)
+
+    def remove(self, node) -> None:
+        super().__delitem__(_last_place(self, node))
+        self._count(node, -1)
+
+    def __setitem__(self, at: int, node) -> None:
+        self._count(self[at], -1)
+        super().__setitem__(at, node)
+        self._count(node, 1)
+
+    def __delitem__(self, part: slice) -> None:
+        for node in self[part]:
+            self._count(node, -1)
+        super().__delitem__(part)
+
+
+#: Elements nested deeper become siblings at this depth, as in browsers; formatting opened again after so many isn't.
+MOST_DEPTH, MOST_REOPENED = 512, 50_000
+
+
 class Node:
     """An element, or with an empty name a run of text."""
 
@@ -39,7 +113,7 @@ class Node:
         if child.parent:
             child.parent.children.remove(child)
         child.parent = self
-        self.children.insert(self.children.index(before) if before else len(self.children), child)
+        self.children.insert(_last_place(self.children, before) if before else len(self.children), child)
 
     def walk(self) -> Iterator[Node]:
         """Descendants in document order."""
@@ -91,14 +165,17 @@ class Builder:
         self.head: Node | None = None
         self.body: Node | None = None
         self.after_head = False
-        self.open: list[Node] = [self.html]
-        self.active: list[Node | None] = []
+        self.open = _Stack([self.html])
+        self.active = _Stack(kinds=True)
+        self.reopened = 0
 
     @property
     def current(self) -> Node:
         return self.open[-1]
 
     def _in_scope(self, names: frozenset[str] | set[str], stop: frozenset[str] = _SCOPE) -> bool:
+        if not self.open.has(*names):
+            return False
         for node in reversed(self.open):
             if node.name in names:
                 return True
@@ -116,10 +193,10 @@ class Builder:
             table = next(n for n in reversed(self.open) if n.name in ("table", "template", "html"))
             if table.name == "table" and table.parent:
                 return table.parent, table
-        return self.current, None
+        return self.open[min(len(self.open), MOST_DEPTH) - 1], None
 
     def _insert(self, node: Node, foster: bool = True) -> Node:
-        where, before = self._place() if foster else (self.current, None)
+        where, before = self._place() if foster else (self.open[min(len(self.open), MOST_DEPTH) - 1], None)
         where.append(node, before)
         return node
 
@@ -127,7 +204,7 @@ class Builder:
         if self.body is None:
             self._want_head()
             self.after_head = True
-            self.open = [self.html]
+            self.open = _Stack([self.html])
             self.body = Node("body")
             self.html.append(self.body)
             self.open.append(self.body)
@@ -142,6 +219,9 @@ class Builder:
         k = len(self.active)
         while k and self.active[k - 1] is not None and self.active[k - 1] not in self.open:
             k -= 1
+        self.reopened += len(self.active) - k
+        if self.reopened > MOST_REOPENED:
+            del self.active[k:]
         for i in range(k, len(self.active)):
             old = self.active[i]
             new = self._insert(Node(old.name, old.attrs))
@@ -150,7 +230,7 @@ class Builder:
 
     def _note(self, node: Node) -> None:
         same = []
-        for old in reversed(self.active):
+        for old in reversed(self.active) if self.active.names.get(_kind(node), 0) > 2 else ():
             if old is None:
                 break
             if old.name == node.name and old.attrs == node.attrs:
@@ -171,7 +251,7 @@ class Builder:
         if text.strip() or self.current.name not in ("table", "tbody", "tfoot", "thead", "tr"):
             self._reopen()
         where, before = self._place() if text.strip() else (self.current, None)
-        spot = where.children.index(before) if before else len(where.children)
+        spot = _last_place(where.children, before) if before else len(where.children)
         if spot and not where.children[spot - 1].name:
             where.children[spot - 1].text += text
         else:
@@ -218,7 +298,7 @@ class Builder:
             self._close_p()
         elif name in ("option", "optgroup") and self.current.name == "option":
             self.open.pop()
-        elif name == "a" and (old := next((x for x in reversed(self.active) if x is None or x.name == "a"), None)):
+        elif name == "a" and self.active.has("a") and (old := next((x for x in reversed(self.active) if x is None or x.name == "a"), None)):
             self.end("a")
             if old in self.active:
                 self.active.remove(old)
@@ -228,7 +308,7 @@ class Builder:
             self.end("nobr")
         elif name == "button" and self._in_scope({"button"}):
             self._pop_to({"button"})
-        elif name == "form" and any(n.name == "form" for n in self.open):
+        elif name == "form" and self.open.has("form"):
             return None
         if name not in CLOSES_P and name not in ("base", "link", "meta", "param", "source", "track", "script", "style", "template", "title", "noscript"):
             self._reopen()
@@ -243,7 +323,7 @@ class Builder:
         return node
 
     def _table_part(self, name: str, attrs: dict[str, str]) -> Node | None:
-        if not any(n.name in ("table", "template") for n in self.open):
+        if not self.open.has("table", "template"):
             return None
         inside = {"td": {"tr"}, "th": {"tr"}, "tr": {"tbody", "thead", "tfoot"}}.get(name, {"table"})
         base = inside | ({"tbody", "thead", "tfoot", "table"} if name in ("td", "th") else {"table"})
@@ -300,7 +380,7 @@ class Builder:
                 self._pop_to({name})
                 if name in ("applet", "marquee", "object", "template"):
                     self._clear_active()
-        else:
+        elif self.open.has(name):
             for node in reversed(self.open):
                 if node.name == name:
                     self._pop_to({name})
@@ -321,7 +401,7 @@ class Builder:
                     fmt = x
                     break
             if fmt is None:
-                for node in reversed(self.open):
+                for node in reversed(self.open) if self.open.has(name) else ():
                     if node.name == name:
                         self._pop_to({name})
                         return

@@ -16,11 +16,11 @@ from ..html import jsonld, links, markdown, tree
 LINKS = "array<struct<url:string,text:string>>"
 IMAGES = "array<struct<url:string,alt:string,score:int>>"
 SUMMARY = "struct<types:array<string>,content_types:array<string>,node_count:int,has_content_data:boolean>"
-PARSED = f"title string, markdown string, visible string, links {LINKS}, outbound_hosts array<string>, json_ld array<string>, images {IMAGES}, structured_data {SUMMARY}"
+PARSED = f"title string, markdown string, visible string, links {LINKS}, outbound_hosts array<string>, json_ld array<string>, images {IMAGES}, structured_data {SUMMARY}, error string"
 _ARROW = pa.struct([
     ("title", pa.string()), ("markdown", pa.string()), ("visible", pa.string()), ("links", pa.list_(pa.struct([("url", pa.string()), ("text", pa.string())]))), ("outbound_hosts", pa.list_(pa.string())),
     ("json_ld", pa.list_(pa.string())), ("images", pa.list_(pa.struct([("url", pa.string()), ("alt", pa.string()), ("score", pa.int32())]))),
-    ("structured_data", pa.struct([("types", pa.list_(pa.string())), ("content_types", pa.list_(pa.string())), ("node_count", pa.int32()), ("has_content_data", pa.bool_())])),
+    ("structured_data", pa.struct([("types", pa.list_(pa.string())), ("content_types", pa.list_(pa.string())), ("node_count", pa.int32()), ("has_content_data", pa.bool_())])), ("error", pa.string()),
 ])
 _HIDDEN = frozenset(("noscript", "script", "style", "template"))
 
@@ -61,12 +61,20 @@ def parse_page(url: str | None, html: str | None, config: CrawlConfig) -> dict |
     }
 
 
+def parsed_or_error(url: str | None, html: str | None, config: CrawlConfig) -> dict | None:
+    """:func:`parse_page`; a page that it can't read has only an ``error``, so that one page never ends a job."""
+    try:
+        return parse_page(url, html, config)
+    except Exception as e:
+        return {"error": f"{type(e).__name__}: {e}"[:200]}
+
+
 def parse_udf(config: CrawlConfig = CrawlConfig()):
-    """An Arrow function ``(url, html) -> struct`` of all tree-derived columns."""
+    """An Arrow function ``(url, html) -> struct`` of all tree-derived columns, with the ``error`` of a page that fails."""
 
     @F.arrow_udf(StructType.fromDDL(PARSED))
     def parsed(url: pa.Array, html: pa.Array) -> pa.Array:
-        return pa.array([parse_page(u.as_py(), h.as_py(), config) for u, h in zip(url, html)], _ARROW)
+        return pa.array([parsed_or_error(u.as_py(), h.as_py(), config) for u, h in zip(url, html)], _ARROW)
 
     return parsed
 
@@ -193,6 +201,9 @@ def discover_feed(pages: DataFrame, bodies: DataFrame) -> DataFrame:
 _CHARSETS = {"iso-8859-1": "cp1252", "latin1": "cp1252", "ascii": "cp1252", "us-ascii": "cp1252", "utf8": "utf-8", "windows-1252": "cp1252", "shift_jis": "cp932", "gb2312": "gb18030", "gbk": "gb18030"}
 
 
+_CP1252 = {b: bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160)}
+
+
 def decode_body(body: bytes, content_type: str | None) -> str:
     """Text of a body by the charset of its header, else of its meta tag, else UTF-8."""
     import codecs
@@ -206,7 +217,7 @@ def decode_body(body: bytes, content_type: str | None) -> str:
     except LookupError:
         codec = "utf-8"
     if codec == "cp1252":  # the five bytes without a character stand for themselves
-        return "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in body) if re.search(rb"[\x81\x8d\x8f\x90\x9d]", body) else body.decode("cp1252")
+        return body.decode("latin-1").translate(_CP1252)
     return body.decode(codec, "replace").removeprefix("﻿")
 
 

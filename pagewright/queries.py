@@ -205,8 +205,8 @@ _SIGNALS = f"WITH d AS (SELECT doc_id, lower({_ATTACK}) AS low FROM documents),
 
 @query(_SIGNALS + " SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN s{k} THEN '{i}' END" for k, i in enumerate(_TESTS)) + ") AS signals FROM s WHERE " + " OR ".join(f"s{k}" for k in range(6)))
 def injection_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_ATTACK).alias("t")).select("doc_id", guard.signals(F.col("t")).alias("s"))
-    return rows.filter(F.size("s") > 0).select("doc_id", F.array_join("s.id", ",").alias("signals"))
+    named = urls.let(guard.signals(F.col("t")), lambda s: F.when(F.size(s) > 0, F.array(F.array_join(s["id"], ","))))  # a filter would work the signals out twice
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_ATTACK).alias("t")).select("doc_id", F.explode(named).alias("signals"))
 
 
 @query(_SIGNALS + " SELECT severity, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{p.severity}' AS severity FROM s WHERE s{k}" for k, p in enumerate(guard.PATTERNS)) + ") GROUP BY 1")
@@ -336,12 +336,13 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def full_page_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole record of each page, quarantined ones marked, with the size of its group of equal content."""
-    from pyspark.sql import Window as W
+    """The whole record of each page, quarantined ones marked, with the number of pages whose region has the same hash.
 
-    rows = pages.build_pages(table(spark, sf_dir, "pages"))
-    same = F.count("*").over(W.partitionBy("content_region_sha256"))
-    return rows.withColumn("same_content", same)
+    Hashes are counted by themselves, so only the narrow counts are grouped, however many pages have an empty region.
+    """
+    base = table(spark, sf_dir, "pages")
+    same = base.groupBy(text.region_hash(F.col("html")).alias("content_region_sha256")).agg(F.count("*").alias("same_content"))
+    return pages.build_pages(base).join(same, "content_region_sha256", "left")
 
 
 @query()

@@ -13,6 +13,7 @@ from pagewright.functions.text import unescape_js
 from pagewright.functions.urls import dedup_key
 from pagewright.html import jsonld, links, markdown, tree
 from pagewright.html.select import select
+from pagewright.operators import pages
 from pagewright.operators.pages import decode_body, parse_page
 
 MD = [
@@ -175,3 +176,30 @@ def test_config():
     c = from_env({"FIRECRAWL_API_KEY": "abcdefgh", "SERPER_API_KEY": "short", "PAGEWRIGHT_SEARCH_ORDER": "tavily, serper", "TAVILY_API_KEY": "long enough"}, max_pages=9)
     assert c.vendor_rungs() == ["firecrawl"] and c.search_providers() == ["tavily"] and c.max_pages == 9
     assert not c.has_contact() and CrawlConfig(user_agent="x (+https://y)").has_contact()
+
+
+DEEP = 100_000
+
+
+@pytest.mark.parametrize("html", ["<div>" * DEEP + "x", "<b>" * DEEP + "x" + "</b>" * DEEP, "<p>" + "<span>" * DEEP + "x" + "</foo>" * DEEP, "".join(f"<b id={i}>" for i in range(DEEP)) + "x", "".join(f"<p><b id={i}>x</p>" for i in range(3000)), "<table>" + "<b>x" * DEEP, "<ul><li>" * DEEP + "x", "<form>" * DEEP + "x", "<b><div></b>" * 5000 + "x"], ids=range(9))
+def test_deep_pages_are_read_in_time(html):
+    import time
+
+    began = time.process_time()
+    page = pages.parse_page("https://a.example/", html, CrawlConfig())
+    assert "x" in page["visible"] and time.process_time() - began < 30
+
+
+def test_depth_is_that_of_browsers():
+    at, depth = tree.parse("<div>" * 2000 + "x"), 0
+    while at.children:
+        at, depth = at.children[-1], depth + 1
+    assert depth <= tree.MOST_DEPTH + 2
+
+
+def test_a_page_that_fails_leaves_the_others(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "https://a.example/", "<title>a</title>"), (2, "https://a.example/", None), (3, "https://a.example/", "<div>" * 30_000 + "<p>deep")], "id int, url string, html string")
+    got = {r.id: r.p for r in rows.select("id", pages.parse_udf()("url", "html").alias("p")).collect()}
+    assert got[1].title == "a" and got[2] is None and got[3].markdown == "deep" and got[1].error is None
+    monkeypatch.setattr(pages, "parse_page", lambda *a: 1 / 0)
+    assert pages.parsed_or_error("u", "<p>", CrawlConfig()) == {"error": "ZeroDivisionError: division by zero"}
