@@ -31,9 +31,12 @@ _CLASS[128:] = np.arange(128, 256)
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """``rows_per_language`` bounds the labelled rows that training takes; the rest is SGD."""
+    """``rows_per_language`` bounds the labelled rows that training takes, and ``pieces`` how many parts of random place
+    and of 12 to 800 characters it takes of each, so that short texts are met too; scoring reads whole texts. The
+    rest is SGD."""
 
     rows_per_language: int = 600
+    pieces: int = 3
     bits: int = 15
     dim: int = 16
     epochs: int = 4
@@ -119,7 +122,7 @@ def train(texts: list[str], labels: list[str], params: LanguageParams = Language
         if i in held or not t:
             continue
         y = languages.index(a)
-        for _ in range(3):  # parts of all lengths, so that short texts are met too
+        for _ in range(params.pieces):
             n = int(np.exp(rng.uniform(np.log(12), np.log(800))))
             at = int(rng.integers(0, max(1, len(t) - n)))
             pieces.append((t[at : at + n], y))
@@ -237,7 +240,7 @@ def keep_identified(docs: DataFrame, params: LanguageParams = LanguageParams())
 
 
 def accept_udf(model: LanguageModel):
-    """A vectorised predicate over lower-cased text."""
+    """A vectorised predicate over lower-cased text: false for null, empty and letterless ones, as in :func:`identify`."""
 
     @F.arrow_udf("boolean")
     def accepted(text: pa.Array) -> pa.Array:

@@ -24,7 +24,7 @@ STRIDE, WIDTH, HALF = 4, 8, 256
 @dataclass(frozen=True)
 class QualityParams:
     """``rows_per_class`` bounds the labelled rows that training takes; ``alpha`` is the share of good
-    held-out documents that may fall under the bar, which is never above ``bar_most``."""
+    held-out documents that may fall under the bar."""
 
     rows_per_class: int = 1200
     dim: int = 8
@@ -34,7 +34,6 @@ class QualityParams:
     rate: float = 4e-3
     held_out: float = 0.25
     alpha: float = 0.003
-    bar_most: float = 0.5
     seed: int = 5
 
 
@@ -166,7 +165,7 @@ def train(texts: list[str], labels: list[int], params: QualityParams = QualityPa
                 v -= (rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     m = QualityModel(p["emb"], p["conv"], p["bias"], p["unit"].astype(np.float64), float(p["unit_bias"][0]), 0.0)
     good = [x for x, y in held or rows if y == 1] or [x for x, y in rows if y == 1]
-    bar = min(params.bar_most, float(np.quantile(probabilities(m, *_packed(good)), params.alpha)))
+    bar = float(np.quantile(np.round(probabilities(m, *_packed(good)), 6), params.alpha, method="lower"))
     return QualityModel(m.emb, m.conv, m.bias, m.unit, m.unit_bias, bar)
 
 
@@ -207,7 +206,10 @@ def _column(model: QualityModel, text: pa.Array) -> np.ndarray:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, all columns as they were, judged in one pass."""
+    """The rows of ``docs`` that the classifier accepts, all columns as they were, judged in one pass.
+
+    Which rows those are, odd ones included, :func:`classify` says; repeated rows stay or go together.
+    """
     model = fit(docs, labels, params)
     if model is None:
         return docs

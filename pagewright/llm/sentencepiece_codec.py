@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import releasing
 
 SPACE = "▁"
+_WORDS = re.compile(" |[^ ]+")
 
 
 @dataclass(frozen=True)
@@ -82,14 +83,28 @@ class CharacterMap:
         n = struct.unpack_from("<I", blob)[0] if blob else 0
         self.units = struct.unpack_from(f"<{n // 4}I", blob, 4) if blob else ()
         self.pool = blob[4 + n :]
-        self.first = bytes(b for b in range(256) if self._starts(b))
+        self.first, self.inner = self._bytes()
 
-    def _starts(self, byte: int) -> bool:
+    def _bytes(self) -> tuple[frozenset[int], frozenset[int]]:
+        """The bytes that keys start with, and those that they go on with."""
         if not self.units:
-            return False
-        root = self.units[0]
-        at = (root >> 10 << ((root & 1 << 9) >> 6)) ^ byte
-        return at < len(self.units) and self.units[at] & (1 << 31 | 0xFF) == byte
+            return frozenset(), frozenset()
+        units = np.array(self.units, np.uint64)
+        offset = (units >> np.uint64(10)) << ((units & np.uint64(1 << 9)) >> np.uint64(6))
+        first: set[int] = set()
+        inner: set[int] = set()
+        level, seen = np.array([offset[0]], np.uint64), np.zeros(0, np.int64)
+        into = first
+        while len(level):
+            at = (level[:, None] ^ np.arange(256, dtype=np.uint64)).astype(np.int64)
+            ok = at < len(units)
+            label = units[np.where(ok, at, 0)] & np.uint64(1 << 31 | 0xFF)
+            ok &= (label == np.arange(256, dtype=np.uint64)) & (np.arange(256) > 0)
+            into.update(np.flatnonzero(ok.any(0)).tolist())
+            node = np.setdiff1d(at[ok], seen)
+            seen = np.union1d(seen, node)
+            level, into = offset[node] ^ node.astype(np.uint64), inner
+        return frozenset(first), frozenset(inner)
 
     def longest(self, raw: bytes, at: int) -> tuple[int, bytes] | None:
         """Length and replacement of the longest key that ``raw`` has at ``at``."""
@@ -146,6 +161,8 @@ class Codec:
         lone = "".join(map(re.escape, self.lone))
         self.units = None if inner or not self.escape or 4 in self.kinds else re.compile(f"[{lone}]|{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" if lone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.words: dict[str, tuple[bytes, np.ndarray, np.ndarray, int]] = {}
+        self.splits = 32 not in self.map.first and 32 not in self.map.inner  # no key reaches over a space
 
     @classmethod
     def load(cls, path: str) -> Codec:
@@ -163,36 +180,75 @@ class Codec:
                 return b"", np.zeros(1, np.int64)
             if self.escape:
                 return ((SPACE if self.dummy else "") + text.replace(" ", SPACE)).encode(), None
-        out, places = bytearray(), []
+        words = [self._mapped(w) for w in (_WORDS.findall(text) if self.splits else [text])]
+        out = np.frombuffer(b"".join([w[0] for w in words]), np.uint8)
+        lens = np.array([len(w[0]) for w in words], np.int64)
+        source = np.array([w[3] for w in words], np.int64)
+        places = np.concatenate([np.zeros(0, np.int64), *[w[1] for w in words]]) + np.repeat(np.cumsum(source) - source, lens)
+        end, space = len(raw), out == 32
+        if self.squeeze:  # spaces at the head of what a key became go where a space or the start comes before
+            keep = ~(space & np.concatenate([np.zeros(0, bool), *[w[2] for w in words]]) & np.concatenate([[True], space[:-1]])[: len(out)])
+            out, places, space = out[keep], places[keep], space[keep]
+        if self.escape:
+            wide = np.where(space, 3, 1)
+            at = np.cumsum(wide) - wide
+            full = np.zeros(int(wide.sum()), np.uint8)
+            full[at] = out
+            for k, byte in enumerate(SPACE.encode()):
+                full[at[space] + k] = byte
+            out, places = full, np.repeat(places, wide)
         mark = SPACE.encode() if self.escape else b" "
-        at, firsts = 0, set(self.map.first)
-        while at < len(raw):
-            hit = self.map.longest(raw, at) if raw[at] in firsts else None
-            if hit:
-                n, new = hit
+        norm = out.tobytes()
+        if self.squeeze:
+            while norm.endswith(mark):
+                norm = norm[: -len(mark)]
+                end = int(places[len(norm)])
+        places = places[: len(norm)]
+        if self.dummy and (norm or raw and not self.squeeze):
+            if self.suffix:
+                norm, places = norm + mark, np.concatenate([places, [end] * len(mark)])
             else:
-                lead = raw[at]
-                n = 1 if lead < 128 else 2 if lead < 224 else 3 if lead < 240 else 4
-                new = raw[at : at + n]
-            for byte in new:
-                if byte == 32:
-                    if self.squeeze and (not out or out.endswith(mark)):
-                        continue
-                    out += mark
-                    places += [at] * len(mark)
-                else:
-                    out.append(byte)
-                    places.append(at)
+                norm, places = mark + norm, np.concatenate([[self._heading(raw)] * len(mark), places])
+        return norm, np.append(places, end)
+
+    def _step(self, raw: bytes, at: int) -> tuple[int, bytes]:
+        """How many bytes at ``at`` are replaced together, and by what."""
+        hit = self.map.longest(raw, at) if raw[at] in self.map.first else None
+        if hit:
+            return hit
+        lead = raw[at]
+        n = 1 if lead < 128 else 2 if lead < 224 else 3 if lead < 240 else 4
+        return n, raw[at : at + n]
+
+    def _heading(self, raw: bytes) -> int:
+        """Where the text starts, after spaces that are squeezed."""
+        at = 0
+        while self.squeeze and at < len(raw):
+            n, new = self._step(raw, at)
+            if new != b" ":
+                break
             at += n
-        if self.squeeze:
-            while out.endswith(mark):
-                del out[-len(mark) :]
-                at = places[-len(mark)]
-                del places[-len(mark) :]
-        if self.dummy and out:
-            out[:0] = mark
-            places[:0] = [places[0]] * len(mark)
-        return bytes(out), np.array([*places, at], np.int64)
+        return at
+
+    def _mapped(self, text: str) -> tuple[bytes, np.ndarray, np.ndarray, int]:
+        """A word by the map: its bytes, the source byte of each, whether only spaces precede it in what its key became,
+        and the source's length."""
+        known = self.words.get(text)
+        if known is not None:
+            return known
+        raw, out, places, head = text.encode(), bytearray(), [], []
+        at = 0
+        while at < len(raw):
+            n, new = self._step(raw, at)
+            spaces = len(new) - len(new.lstrip(b" "))
+            out += new
+            places += [at] * len(new)
+            head += [k < spaces for k in range(len(new))]
+            at += n
+        if len(self.words) > 200_000:
+            self.words.clear()
+        self.words[text] = made = (bytes(out), np.array(places, np.int64), np.array(head, bool), len(raw))
+        return made
 
     def _segment(self, units: list[str]) -> None:
         """Put ``units`` in the cache: ids and how many normalised bytes each piece covers."""
@@ -207,7 +263,7 @@ class Codec:
         if not self.fallback:  # an unknown piece covers as much as it stands for
             for unit, own in zip(units, got):
                 if self.unknown in own:
-                    proto = self.library.encode(unit, out_type="immutable_proto")
+                    proto = self.library.encode(unit, return_type="proto")
                     self.cache[unit] = (np.array(own, np.int32).tobytes(), np.array([len(p.surface.encode()) for p in proto.pieces], np.int32).tobytes())
 
     def encode_batch(self, texts: list[str], most: int = 200_000) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -247,9 +303,10 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that the ids stand for: normalised, marks as spaces, the one put in front taken off."""
+        ids = [i if i is not None and 0 <= i < len(self.pieces) else self.unknown for i in ids]
         raw = b"".join([bytes([int(self.pieces[i][3:5], 16)]) if self.kinds[i] == 6 else b" \xe2\x81\x87 " if self.kinds[i] == 2 else b"" if self.kinds[i] == 3 else self.pieces[i] for i in ids])
         text = raw.decode(errors="replace").replace(SPACE, " ")
-        return text[1:] if self.dummy and text.startswith(" ") else text
+        return text[1:] if self.dummy and raw.startswith(SPACE.encode()) else text
 
 
 _codecs: dict[str, Codec] = {}
@@ -294,7 +351,12 @@ def encode(docs: DataFrame, params: PieceParams = PieceParams()) -> DataFrame:
 
 
 def decode(encoded: DataFrame, params: PieceParams = PieceParams()) -> DataFrame:
-    """``(doc_id, text)`` from ``(doc_id, ids)``; null ids give a null text, empty ones an empty text."""
+    """``(doc_id, text)`` from ``(doc_id, ids)``.
+
+    Defined results: null ids give a null text, empty ones an empty text; the unknown piece is written as the library
+    does, control pieces as nothing, an id that is null or outside the vocabulary as the unknown piece; bytes that
+    are no UTF-8 as replacement characters; an empty table gives an empty result; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(params.model_file)

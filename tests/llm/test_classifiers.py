@@ -86,3 +86,42 @@ def test_quality_odd_rows(spark):
     assert quality.classify(no_docs(spark), labels).count() == 0
     assert quality.classify(odd_docs(spark), labels.limit(0)).filter("accepted and prob is null").count() == len(odd_rows())
     assert quality.keep_good(odd_docs(spark), labels).columns == odd_docs(spark).columns
+
+
+def test_language_scores_are_those_of_plain_loops():
+    texts = ["das ist ein haus und", "the house is a home", "", "Ünder 12 le chat!", "x", "a b", "das auto ist da" * 40]
+    model = language_id.train(["das ist ein haus und", "the house is a home", "le chat est la"] * 8, ["de", "en", "fr"] * 8)
+    data, offs = language_id._packed(texts)
+    got, count = language_id.scores(model, data, offs)
+    for k, text in enumerate(texts):
+        raw = [c if 97 <= c <= 122 or c >= 128 else 32 for c in text.lower().encode()]
+        sums, n = [0.0] * 3, 0
+        for order, width in enumerate(language_id.ORDERS):
+            for i in range(len(raw) - width + 1):
+                gram = raw[i : i + width]
+                if 32 in gram[1:-1] or (width == 2 and gram == [32, 32]):
+                    continue
+                bucket = (int.from_bytes(bytes(gram)) * 2654435761 % (1 << 32)) >> (32 - model.bits)
+                sums = [s + float(w) for s, w in zip(sums, model.table[order][bucket])]
+                n += 1
+        z = [(s / max(n, 1) + float(b)) / model.temperature for s, b in zip(sums, model.bias)]
+        e = [np.exp(v - max(z)) for v in z]
+        assert count[k] == n and np.allclose(got[k], [v / sum(e) for v in e], atol=1e-6)
+
+
+def test_quality_is_that_of_plain_loops():
+    texts = ["a plain sentence. " * 40, "zz## qq%%", "x" * 255, "y" * 256, "z" * 257, "mixed text 123 " * 200]
+    m = quality.train([t + str(k) for k in range(12) for t in texts[:1]] + [texts[1] * 9 + str(k) for k in range(12)], [1] * 12 + [0] * 12)
+    got = quality.probabilities(m, *quality._packed(texts))
+    f = len(m.bias)
+    for text, p in zip(texts, got):
+        raw = text.encode()
+        raw += bytes(-(-(len(raw) + quality.STRIDE) // quality.HALF) * quality.HALF - len(raw))
+        steps = [m.emb[list(raw[i : i + quality.STRIDE])].ravel().astype(np.float64) for i in range(0, len(raw), quality.STRIDE)]
+        conv = m.conv.astype(np.float64)
+        answers = [steps[i] @ conv[:, :f] + (steps[i + 1] @ conv[:, f:] if i + 1 < len(steps) else 0) for i in range(len(steps))]
+        per = quality.HALF // quality.STRIDE
+        halves = [np.max(answers[i : i + per], axis=0) for i in range(0, len(answers), per)]
+        chunks = [np.maximum(np.maximum(halves[i], halves[min(i + 1, len(halves) - 1)]) + m.bias, 0) for i in range(max(1, len(halves) - 1))]
+        z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) @ m.unit + m.unit_bias
+        assert abs(1 / (1 + np.exp(-z)) - p) < 1e-5

@@ -12,12 +12,13 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pagewright.llm import language_id, license_scan, ngram_join, packing, quality, queries, sentencepiece_codec, sharding, url_filter
+from pagewright.llm import language_id, license_scan, packing, quality, queries, sentencepiece_codec, sharding, url_filter
 from pagewright.llm.common import read
 from pyspark.sql import functions as F
 
 from ..conftest import normal
 from .fixtures import no_docs, odd_docs, odd_rows, prose
+from .test_similar import brute_texts, grams
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -104,18 +105,107 @@ def test_sentencepiece_query(spark, sf):
     encoded = queries.QUERIES["op5_sentencepiece"](spark, sf)
     got = encoded.collect()
     assert len(got) == len(docs)
-    for r in got[:60]:
+    for r in got:
         assert r.ids == library.encode(docs[r.doc_id])
         raw = docs[r.doc_id].encode()
         assert b"".join(raw[a:b] for a, b in zip(r.starts, r.ends)) == raw
     assert {r.doc_id: r.text for r in sentencepiece_codec.decode(encoded).collect()} == docs
 
 
+def double_array(keys: dict[bytes, bytes]) -> bytes:
+    """A compiled character map of ``keys``, as the library stores one: a double-array trie and a pool of replacements."""
+    pool, at = b"", {}
+    for key, new in keys.items():
+        at[key] = len(pool)
+        pool += new + b"\0"
+    trie: dict = {}
+    for key in keys:
+        node = trie
+        for byte in key:
+            node = node.setdefault(byte, {})
+        node[0] = at[key]
+    units, taken, bases = [0] * (1 << 14), {0}, set()
+
+    def place(node: dict, pos: int) -> None:
+        base = next(b for b in range(1, len(units)) if b not in bases and all((b ^ c) not in taken and b ^ c < len(units) for c in node) and (pos ^ b) < 1 << 21)
+        bases.add(base)
+        units[pos] |= (pos ^ base) << 10 | (0 in node) << 8
+        taken.update(base ^ c for c in node)
+        for c, child in node.items():
+            if c:
+                units[base ^ c] = c
+                place(child, base ^ c)
+            else:
+                units[base] = child | 1 << 31
+
+    place(trie, 0)
+    blob = np.array(units[: max(taken) // 256 * 256 + 256], np.uint32).tobytes()
+    return len(blob).to_bytes(4, "little") + blob + pool
+
+
+KEYS = {"ﬁ": "fi", "É": "é", "e\u0301": "é", "a\u0308\u0301": "ä", "a\u0308": "ae", "\u00a0": " ", "\u3000": " ", "\t": " ", "\n": " ", "\u200b": "", "…": "...", "½": " 1/2", "¨": " \u0308", "ABC": "x", "AB": "yy", "Ａ": "A", "㎞": "km", "\u0007": "", "㍿": "株式会社"}
+
+
+@pytest.fixture(scope="module", params=[(1, 1, 1), (1, 0, 1), (0, 1, 1), (0, 0, 1)], ids=str)
+def mapped_model(request, tmp_path_factory):
+    """The public model with a character map of its own: (space in front, squeeze, escape)."""
+    raw, out = open(MODEL, "rb").read(), b""
+    for number, value in sentencepiece_codec._fields(raw):
+        if number != 3:
+            out += sentencepiece_codec._message(number, value)
+    blob = double_array({k.encode(): v.encode() for k, v in KEYS.items()})
+    spec = sentencepiece_codec._message(1, b"own") + sentencepiece_codec._message(2, blob) + b"".join(bytes([k << 3, v]) for k, v in zip((3, 4, 5), request.param))
+    path = tmp_path_factory.mktemp("model") / "mapped.model"
+    path.write_bytes(out + sentencepiece_codec._message(3, spec))
+    return str(path)
+
+
+@settings(max_examples=250, deadline=None)
+@given(text=st.lists(st.sampled_from([*KEYS, "the", " ", "  ", "e", "a", "A", "B", "ABC", "\u0301", "\u0308", "▁", "漢", "😀", "don't", "x y"]), max_size=14).map("".join) | st.text(st.characters(min_codepoint=1, exclude_categories=["Cs"]), max_size=40))
+def test_a_character_map_gives_the_library_s_pieces_and_spans(mapped_model, text):
+    text = text.encode("utf-8", "ignore").decode()
+    codec, library = sentencepiece_codec.codec(mapped_model), sentencepiece.SentencePieceProcessor(model_file=mapped_model)
+    assert codec.map.units and codec.splits
+    ids, starts, ends = codec.encode_batch([text])[0]
+    want = library.encode(text, return_type="proto")
+    assert ids.tolist() == [p.id for p in want.pieces]
+    raw = text.encode()
+    assert [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts, ends)] == [p.surface for p in want.pieces]
+
+
+def test_a_character_map_without_safe_places_to_split(tmp_path):
+    raw, out = open(MODEL, "rb").read(), b""
+    for number, value in sentencepiece_codec._fields(raw):
+        if number != 3:
+            out += sentencepiece_codec._message(number, value)
+    blob = double_array({b" \xcc\x88": b"o", "a b".encode(): b"z", b"q": b""})
+    model = out + sentencepiece_codec._message(3, sentencepiece_codec._message(1, b"own") + sentencepiece_codec._message(2, blob))
+    codec, library = sentencepiece_codec.Codec(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    assert not codec.splits
+    for text in ("", "q", "qq  q", "the \u0308 a b  a b", " a bq c ", "x  \u0308y"):
+        assert codec.encode_batch([text])[0][0].tolist() == library.encode(text)
+
+
+def test_a_character_map_is_fast():
+    import time
+
+    codec = sentencepiece_codec.Codec(open(MODEL, "rb").read())
+    codec.map = sentencepiece_codec.CharacterMap(double_array({k.encode(): v.encode() for k, v in KEYS.items()}))
+    codec.splits = True
+    text = prose(3, 100_000)
+    began = time.process_time()
+    codec.normalise(text)
+    assert time.process_time() - began < 2
+
+
 def test_sentencepiece_odd_rows(spark):
     got = sentencepiece_codec.encode(odd_docs(spark)).collect()
     assert len(got) == len(odd_rows()) and all(not r.ids for r in got if r.doc_id in (5, 6))
     assert sentencepiece_codec.encode(no_docs(spark)).count() == 0
     assert [r.text for r in sentencepiece_codec.decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")).orderBy("doc_id").collect()] == [None, ""]
+    odd = spark.createDataFrame([(1, [None, -5, 10**6]), (None, [0])], "doc_id long, ids array<int>")
+    unknown = sentencepiece.SentencePieceProcessor(model_file=MODEL).decode([0])
+    assert sorted(r.text for r in sentencepiece_codec.decode(odd).collect()) == sorted([unknown * 3, unknown])
 
 
 # --- packing -----------------------------------------------------------------------------------------------------
@@ -140,6 +230,32 @@ def test_exact_complements_are_taken():
     assert out[(60, 4)] == 4 and out[(33, 31)] == 1 and out[(30, 20, 14)] == 2
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=7))
+def test_packing_of_few_pieces_against_the_best(lengths):
+    """All ways to pack up to seven pieces: never more than one sequence over the fewest."""
+    def least(left: tuple, rooms: tuple) -> int:
+        if not left:
+            return len(rooms)
+        ways = [least(left[1:], tuple(sorted((*rooms[:k], r - left[0], *rooms[k + 1 :])))) for k, r in enumerate(rooms) if r >= left[0]]
+        return min([*ways, least(left[1:], tuple(sorted((*rooms, 12 - left[0]))))])
+
+    counts = {x: lengths.count(x) for x in lengths}
+    assert sum(n for _, n in packing.pack_counts(counts, 12)) <= least(tuple(sorted(lengths, reverse=True)), ()) + 1
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 20), st.integers(1, 3), min_size=1, max_size=8), st.integers(1, 30))
+def test_complements_are_found_wherever_there_are_any(counts, gap):
+    have = np.zeros(32, np.int64)
+    for k, n in counts.items():
+        have[k] = n
+    pool = [k for k, n in counts.items() for _ in range(n)]
+    want = any(sum(c) == gap for r in (1, 2, 3) for c in __import__("itertools").combinations(pool, r))
+    got = packing.SumIndex(have).complement(gap)
+    assert (got is not None) == want and (got is None or (sum(got) == gap and all(got.count(x) <= counts[x] for x in got)))
+
+
 def check_packing(got, lengths: list[int], cap: int) -> None:
     pieces = [(n, k) for n in lengths for k in range(-(-n // cap))]
     assert len(got) == len(pieces) and sum(r.tokens for r in got) == sum(lengths)
@@ -190,9 +306,26 @@ def test_schedule_is_the_heap_s(sizes, shards):
     counts: dict[int, int] = {}
     for x in sizes:
         counts[x] = counts.get(x, 0) + 1
-    for size, first, turn in sharding.schedule(list(counts.items()), shards):
-        got = [first[k] if k < len(first) else turn[(k - len(first)) % len(turn)] for k in range(counts[size])]
-        assert got == want[size]
+    for size, starts, turns in sharding.schedule(list(counts.items()), shards):
+        part = [sum(s <= k for s in starts) - 1 for k in range(counts[size])]
+        assert [turns[p][(k - starts[p]) % len(turns[p])] for k, p in enumerate(part)] == want[size]
+
+
+def test_schedule_of_very_many_groups_stays_small():
+    plan = sharding.schedule([(10**10, 1), (7, 10**9), (5, 10**9)], 64)
+    assert sum(len(t) for _, _, turns in plan for t in turns) < 500
+
+
+def test_ranks_of_a_hot_key_come_from_many_tasks(spark):
+    from pagewright.llm.common import ranked
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50).alias("key"), (F.col("id") * 7919 % 5003).alias("x"))
+    got = ranked(rows, "key", [F.col("x").asc()]).collect()
+    want: dict = {}
+    for r in sorted(got, key=lambda r: (r.key, r.x)):
+        assert r["rank"] == want.setdefault(r.key, 0)
+        want[r.key] += 1
+    assert sum(want.values()) == 5000
 
 
 def test_sharding_odd_rows(spark):
@@ -265,16 +398,8 @@ def test_pipeline_stages_do_as_their_operators_say(spark, sf):
     two = corpus_pipeline.stage_quality(spark, one, sf).cache()
     assert ids(two) == ids(quality.classify(one, labels).filter("accepted")) and two.columns == docs.columns
     three = corpus_pipeline.stage_near_duplicates(spark, two, sf).cache()
-    pairs = [(r.doc_a, r.doc_b) for r in ngram_join.join_documents(two).collect()]
-    parent = {i: i for i in ids(two)}
-
-    def find(x):
-        return x if parent[x] == x else find(parent[x])
-
-    for a, b in pairs:
-        a, b = sorted((find(a), find(b)))
-        parent[b] = a
-    assert ids(three) == sorted(i for i in parent if find(i) == i) and three.columns == docs.columns
+    texts = [(r.doc_id, r.text) for r in two.select("doc_id", "text").collect()]
+    assert ids(three) == sorted({c for _, c, _ in brute_texts(texts, grams, 0.6)}) and three.columns == docs.columns
     packed = corpus_pipeline.stage_packing(spark, three, sf).collect()
     check_packing(packed, [len(r.text.split()) for r in three.collect()], 2048)
     whole = corpus_pipeline.run(spark, sf).collect()
