@@ -406,6 +406,19 @@ def test_pipeline_stages_do_as_their_operators_say(spark, sf):
     assert sorted(whole) == sorted(packed)
 
 
+def test_pipeline_runs_over_odd_and_empty_tables(spark, sf, tmp_path):
+    import os
+
+    for name, docs in (("odd", odd_docs(spark)), ("empty", no_docs(spark))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        read(spark, sf, "labels").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    odd = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert odd and {r.doc_id for r in odd} <= {r[0] for r in odd_rows()}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert all(os.listdir(f"{shared}/{x}") == ["3-best_fit_packing"] for x in os.listdir(shared) if x.startswith("pipeline-"))
+
+
 def test_pipeline_takes_odd_rows(spark, sf):
     docs = odd_docs(spark)
     for _, stage in corpus_pipeline.STAGES:
