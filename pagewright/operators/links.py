@@ -78,6 +78,19 @@ def map_site(sitemap: DataFrame, home_links: DataFrame, most: int = 500) -> Data
     return first.withColumn("ord", F.row_number().over(W.partitionBy("site").orderBy("x.rank", "x.ord")) - 1).filter(F.col("ord") < most).select("site", "ord", "x.url", "x.source")
 
 
+def map_counters(sitemap: DataFrame, home_links: DataFrame, most: int = 500) -> DataFrame:
+    """``(site, sitemap, home, feeds, truncated)`` of :func:`map_site`: the addresses that each source brought in, repeats of
+    known ones included, up to the one that found the map full; feeds among the home page's links by address."""
+    both = sitemap.select("site", F.lit(0).alias("rank"), "ord", "url").union(home_links.select("site", F.lit(1), "ord", "url")).withColumn("key", urls.url_dedup_key(F.col("url")))
+    order = W.partitionBy("site").orderBy("rank", "ord")
+    once = both.withColumn("new", (F.col("key") != "") & (F.row_number().over(W.partitionBy("site", "key").orderBy("rank", "ord")) == 1))
+    before = F.coalesce(F.sum(F.col("new").cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    told = once.withColumn("full", before >= most)
+    feeds = home_links.filter(is_feed_url(F.col("url"))).groupBy("site").agg(F.countDistinct("url").alias("feeds"))
+    out = told.groupBy("site").agg(F.count_if((F.col("rank") == 0) & ~F.col("full")).alias("sitemap"), F.count_if((F.col("rank") == 1) & ~F.col("full")).alias("home"), F.bool_or("full").alias("truncated"))
+    return out.join(feeds, "site", "left").select("site", "sitemap", "home", F.coalesce("feeds", F.lit(0)).alias("feeds"), "truncated")
+
+
 def is_feed_url(url: Column) -> Column:
     return url.rlike(r"(?i)[.](atom|ics|rss)([?#]|$)|/(atom|feed|rss)([/?#]|$)")
 

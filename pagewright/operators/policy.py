@@ -144,3 +144,23 @@ def target_headers(headers: Column) -> Column:
     """Extra request headers with lower-case names, without those that the fetcher sets itself."""
     low = F.map_from_entries(F.filter(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))), lambda e: ~e["key"].isin(*RESERVED_HEADERS)))
     return low
+
+
+def off_domain_refusal(detail: Column, url: Column) -> Column:
+    """Whether a refusal tells of another registrable domain than ``url``'s: that of the first address in ``detail``."""
+    told = urls.host_of(F.nullif(F.regexp_extract(detail, r"https?://[^\s)]+", 0), F.lit("")))
+    return F.coalesce(urls.registrable_domain(told) != urls.registrable_domain(urls.host_of(url)), F.lit(False))
+
+
+def with_origin_moved(served: DataFrame) -> DataFrame:
+    """``served (url, ok, not_modified, refusal, served_by, ...)`` with ``origin_moved``: the refusal and who served the
+    page nevertheless, where an earlier rung was sent to another domain; null for failures and 304s."""
+    moved = F.col("ok") & ~F.coalesce("not_modified", F.lit(False)) & off_domain_refusal(F.col("refusal"), F.col("url"))
+    return served.withColumn("origin_moved", F.when(moved, F.struct("refusal", "served_by")))
+
+
+def archive_allowed(targets: DataFrame, opted_in: bool) -> DataFrame:
+    """``targets (robots_policy, headers, ...)`` with ``archive``: an archived copy may stand in only where that is opted into,
+    robots say allow outright and no credentials are sent."""
+    plain = F.coalesce(F.size("headers"), F.lit(0)) <= 0
+    return targets.withColumn("archive", F.lit(opted_in) & F.coalesce(F.col("robots_policy") == "allow", F.lit(False)) & plain)

@@ -445,14 +445,14 @@ def link_graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def site_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crawls of all hosts over a site where each page links to the host's next two by id; three pages a host at most."""
+    """Crawls of all hosts over a site where each page links to the host's next two by id; five pages a host at most."""
     from pyspark.sql import Window as W
 
     rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://"), urls.host_of(F.col("url"))).alias("target"), F.regexp_replace("url", "^http:", "https:").alias("url"))
     seq = W.partitionBy("target").orderBy("page_id")
     site = rows.select("target", "page_id", "url", F.array(*(F.struct(F.coalesce(F.lead("url", k).over(seq), F.lit("")).alias("url"), F.lit("next").alias("text")) for k in (1, 2))).alias("links"), F.lit(None).cast("string").alias("next_url"), F.row_number().over(seq).alias("n"))
     seeds = site.filter("n = 1").select("target", F.lit(0).alias("ord"), "url")
-    return crawl.crawl_sites(seeds, site.select("url", "links", "next_url"), crawl.CrawlOptions(max_pages=3, max_depth=9))
+    return crawl.crawl_sites(seeds, site.select("url", "links", "next_url"), crawl.CrawlOptions(max_depth=9))
 
 
 _MAPPED = f"SELECT {_ORIGIN} AS site, url, page_id FROM pages"
@@ -460,11 +460,67 @@ _MAPPED = f"SELECT {_ORIGIN} AS site, url, page_id FROM pages"
 
 @query(_KEYED + f""", both_ AS (SELECT site, 0 AS rank, page_id AS ord, url, 'sitemap' AS source, url_key FROM ({_MAPPED}) JOIN keyed USING (page_id) UNION ALL SELECT site, 1, page_id, url, 'home', url_key FROM ({_MAPPED}) JOIN keyed USING (page_id) WHERE page_id % 2 = 0),
 f AS (SELECT *, row_number() OVER (PARTITION BY site, url_key ORDER BY rank, ord) AS n FROM both_), g AS (SELECT site, url, source, row_number() OVER (PARTITION BY site ORDER BY rank, ord) - 1 AS ord FROM f WHERE n = 1)
-SELECT site, ord, url, source FROM g WHERE ord < 10""")
+SELECT site, ord, url, source FROM g WHERE ord < 500""")
 def site_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = urls.url_parts(F.col("url"))
     rows = table(spark, sf_dir, "pages").select(F.concat(p["scheme"], F.lit("://"), p["host"]).alias("site"), F.col("page_id").alias("ord"), "url")
-    return links.map_site(rows, rows.filter("ord % 2 = 0"), 10).withColumn("ord", F.col("ord").cast("long"))
+    return links.map_site(rows, rows.filter("ord % 2 = 0")).withColumn("ord", F.col("ord").cast("long"))
+
+
+@query(_KEYED + f""", b AS (SELECT site, 0 AS rank, page_id AS ord, url_key FROM ({_MAPPED}) JOIN keyed USING (page_id) UNION ALL SELECT site, 1, page_id, url_key FROM ({_MAPPED}) JOIN keyed USING (page_id)),
+n AS (SELECT *, row_number() OVER (PARTITION BY site, url_key ORDER BY rank, ord) = 1 AS new FROM b), f AS (SELECT *, coalesce(sum(new::INT) OVER (PARTITION BY site ORDER BY rank, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 3 AS is_full FROM n)
+SELECT site, count(*) FILTER (rank = 0 AND NOT is_full) AS sitemap, count(*) FILTER (rank = 1 AND NOT is_full) AS home, 0::BIGINT AS feeds, bool_or(is_full) AS truncated FROM f GROUP BY 1""")
+def map_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sitemap and home page bring in where a map holds three addresses."""
+    p = urls.url_parts(F.col("url"))
+    rows = table(spark, sf_dir, "pages").select(F.concat(p["scheme"], F.lit("://"), p["host"]).alias("site"), F.col("page_id").alias("ord"), "url")
+    return links.map_counters(rows, rows, 3)
+
+
+_SERVED = "CASE page_id % 4 WHEN 0 THEN 'redirect to http://parked.example/x was refused' WHEN 1 THEN 'redirect to (' || url || ') was refused' WHEN 2 THEN 'timed out' END"
+_MOVED = "page_id % 4 = 0"
+
+
+@query(f"SELECT page_id, CASE WHEN {_MOVED} AND page_id % 3 <> 0 AND page_id % 5 <> 0 THEN 'reader' END AS served_by, CASE WHEN {_MOVED} AND page_id % 3 <> 0 AND page_id % 5 <> 0 THEN {_SERVED} END AS refusal FROM pages")
+def origin_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("page_id % 3 <> 0").alias("ok"), F.expr("page_id % 5 = 0").alias("not_modified"), F.expr(_SERVED).alias("refusal"), F.lit("reader").alias("served_by"))
+    return policy.with_origin_moved(rows).select("page_id", "origin_moved.served_by", "origin_moved.refusal")
+
+
+@query("SELECT page_id, page_id % 3 = 0 AND page_id % 2 = 0 AS archive FROM pages")
+def archive_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").selectExpr("page_id", "CASE page_id % 3 WHEN 0 THEN 'allow' WHEN 1 THEN 'unknown' END AS robots_policy", "CASE WHEN page_id % 2 = 1 THEN map('cookie', 'x') END AS headers")
+    return policy.archive_allowed(rows, True).select("page_id", "archive")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'a' || page_id END AS accept, page_id % 3 = 0 AS bare FROM pages""")
+def target_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").selectExpr("page_id", "CASE WHEN page_id % 3 = 0 THEN map('Host', 'x', 'USER-AGENT', 'y') ELSE map('Accept', concat('a', page_id), 'Content-Length', '1') END AS headers")
+    return rows.withColumn("h", policy.target_headers(F.col("headers"))).select("page_id", F.col("h")["accept"].alias("accept"), (F.size("h") == 0).alias("bare"))
+
+
+@query(f"""WITH p AS (SELECT page_id, url, {_PART(2)} = '' AS bad FROM pages), c AS (SELECT url, bool_or(page_id % 4 <> 0) AS ok, bool_or(page_id % 4 <> 0 AND page_id % 5 = 0) AS same FROM pages GROUP BY 1 HAVING bool_and(page_id % 7 <> 0))
+SELECT page_id, CASE WHEN bad OR NOT coalesce(ok, FALSE) THEN 'skipped' WHEN same THEN 'not_modified' ELSE 'page' END AS outcome, CASE WHEN bad THEN 'blocked' WHEN ok IS NULL THEN 'unreachable' WHEN NOT ok THEN 'empty' END AS reason FROM p LEFT JOIN c USING (url)""")
+def search_and_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", "url")
+    crawled = rows.groupBy("url").agg(F.expr("bool_or(page_id % 4 <> 0)").alias("ok"), F.expr("bool_or(page_id % 4 <> 0 AND page_id % 5 = 0)").alias("not_modified"), F.expr("bool_and(page_id % 7 <> 0)").alias("answered"))
+    crawled = crawled.filter("answered").select("url", "ok", "not_modified", F.lit("empty").alias("reason"), F.lit("no text").alias("detail"))
+    return crawl.search_and_crawl(rows.select(F.lit("q").alias("query"), F.col("page_id").alias("ord"), "url"), crawled).select(F.col("ord").alias("page_id"), "outcome", "reason")
+
+
+@query(_KEYED + f"SELECT page_id FROM (SELECT page_id, row_number() OVER (PARTITION BY lower({_PART(2)}), url_key ORDER BY page_id) AS n FROM pages JOIN keyed USING (page_id)) WHERE n = 1".replace("SELECT page_id FROM", " SELECT page_id FROM", 1))
+def converged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select(urls.host_of(F.col("url")).alias("target"), F.col("page_id").alias("seq"), "url")
+    return crawl.converge(rows).select(F.col("seq").alias("page_id"))
+
+
+@query("""SELECT count(*) AS pages, count(*) FILTER (page_id % 3 = 0) AS thin, count(*) FILTER (page_id % 2 = 0) AS no_markdown, count(*) FILTER (page_id % 5 = 0) AS structured, count(*) FILTER (page_id % 7 = 0) AS empty_state, count(*) FILTER (page_id % 4 = 0) AS with_images FROM pages""")
+def parity_counts_of_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").selectExpr(
+        "CASE WHEN page_id % 3 = 0 THEN 'short' ELSE repeat('long text ', 30) END AS text", "CASE WHEN page_id % 2 = 0 THEN '' ELSE '# x' END AS markdown", "named_struct('has_content_data', page_id % 5 = 0) AS structured_data", "page_id % 7 = 0 AS likely_empty_state",
+        "CASE WHEN page_id % 4 = 0 THEN array('i') ELSE array() END AS candidate_content_images",
+    )
+    return usage.parity_counts(rows)
 
 
 _WORDS = [("places", 0, "the"), ("places", 0, "and"), ("dates", 1, "der"), ("dates", 1, "ing")]
@@ -521,11 +577,35 @@ def latency_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.latency_average(_events(spark, sf_dir), "user_id", ["ts", "event_id"], F.col("value")).select("user_id", F.round("value", 6).alias("latency"))
 
 
-@query("""SELECT event_id, CASE WHEN won AND epoch_us(ts) // 1000 < t0 + 1800000 THEN rung END AS remembered FROM (
-  SELECT event_id, ts, lag(epoch_us(ts) // 1000) OVER w AS t0, lag(event_type <> 'error') OVER w AS won, lag(event_type) OVER w AS rung FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""")
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type AS rung, epoch_us(ts) // 1000 AS at, value >= 25 AS won, value < 5 AS excused, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s(user_id, i, event_id, remembered, rung, until) AS (
+  SELECT user_id, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, 0::BIGINT FROM e GROUP BY 1
+  UNION ALL
+  SELECT e.user_id, e.i, e.event_id, CASE WHEN e.at < s.until THEN s.rung END, CASE WHEN e.won THEN e.rung WHEN NOT e.excused AND e.rung = s.rung THEN NULL ELSE s.rung END, CASE WHEN e.won THEN e.at + 86400000 ELSE s.until END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+SELECT event_id, remembered, coalesce(remembered <> 'click', FALSE) AS skips FROM s WHERE event_id IS NOT NULL""")
 def rung_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = usage.rung_memory(_events(spark, sf_dir), "user_id", ["ts", "event_id"], F.col("at_ms"), F.col("event_type"), F.col("event_type") != "error")
-    return rows.select("event_id", "remembered")
+    value = F.col("value")
+    rows = usage.rung_memory(_events(spark, sf_dir), "user_id", ["ts", "event_id"], F.col("at_ms"), F.col("event_type"), value >= 25, 86_400_000, value < 5)
+    return rows.select("event_id", "remembered", usage.skips_direct_fetch(F.when(F.col("remembered") == "click", "fetch").otherwise(F.col("remembered"))).alias("skips"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, value AS x, epoch_us(ts) // 1000 AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s(user_id, i, event_id, run_at_ms, gap_ms, free, average) AS (
+  SELECT user_id, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::DOUBLE FROM e GROUP BY 1
+  UNION ALL
+  SELECT user_id, i, event_id, run, gap, run + gap, CASE WHEN average IS NULL THEN x ELSE average * (1 - 0.3::DOUBLE) + x * 0.3::DOUBLE END
+  FROM (SELECT e.*, greatest(e.at, s.free) AS run, s.average, greatest(60000, coalesce(floor(s.average * 2000::DOUBLE + 0.5::DOUBLE)::BIGINT, 0)) AS gap FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1))
+SELECT event_id, run_at_ms, gap_ms FROM s WHERE event_id IS NOT NULL""")
+def adaptive_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = usage.adaptive_schedule(_events(spark, sf_dir), "user_id", "event_id", ["ts", "event_id"], F.col("at_ms"), F.col("value"), 60_000, 2000.0)
+    return rows.select("event_id", "run_at_ms", "gap_ms")
+
+
+@query("SELECT user_id, nullif(string_agg(CASE WHEN event_type = 'error' THEN event_id || ' failed' END, '; ' ORDER BY ts, event_id), '') AS errors FROM events GROUP BY 1")
+def joined_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).select("user_id", F.struct("ts", "event_id").alias("ord"), F.when(F.col("event_type") == "error", F.concat("event_id", F.lit(" failed"))).alias("error"))
+    return usage.joined_errors(rows, "user_id")
 
 
 @query("""SELECT user_id, n AS requests, r.h AS hits FROM (SELECT user_id, count(*) AS n,

@@ -24,10 +24,13 @@ def first_sightings(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def rung_memory(events: DataFrame, ttl_ms: int = RUNG_TTL_MS) -> DataFrame:
-    """``(host, event_id, remembered)`` for ``events (host, event_id, at_ms, rung, won)``, with a state for each host.
+    """``(host, event_id, remembered)`` for ``events (host, event_id, at_ms, rung, won[, excused])``, with a state for each host.
 
-    A success is remembered for ``ttl_ms`` and each renews that; a failure forgets. Events of a batch are taken by time.
+    A success is remembered for ``ttl_ms`` and each renews that; only a failure of the remembered rung that isn't
+    ``excused`` forgets it. Events of a batch are taken by time.
     """
+    if "excused" not in events.columns:
+        events = events.withColumn("excused", F.lit(False))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -38,7 +41,10 @@ def rung_memory(events: DataFrame, ttl_ms: int = RUNG_TTL_MS) -> DataFrame:
         out = []
         for r in rows.itertuples():
             out.append((key[0], r.event_id, rung if rung is not None and r.at_ms < until else None))
-            rung, until = (r.rung, r.at_ms + ttl_ms) if r.won else (None, -1)
+            if r.won:
+                rung, until = r.rung, r.at_ms + ttl_ms
+            elif r.rung == rung and not r.excused:
+                rung, until = None, -1
         state.update((rung, until))
         state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["host", "event_id", "remembered"])
@@ -46,6 +52,53 @@ def rung_memory(events: DataFrame, ttl_ms: int = RUNG_TTL_MS) -> DataFrame:
     return events.groupBy("host").applyInPandasWithState(step, "host string, event_id long, remembered string", "rung string, until long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def cached(requests: DataFrame, ttl_ms: int) -> DataFrame:
+    """``(url, request_id, hit)`` for ``requests (url, request_id, at_ms)``: a page cache whose entries live ``ttl_ms`` from
+    when they were written; the request that finds none writes one."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        (until,) = state.get if state.exists else (-1,)
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["at_ms", "request_id"]).itertuples():
+            hit = r.at_ms < until
+            until = until if hit else r.at_ms + ttl_ms
+            out.append((key[0], r.request_id, hit))
+        state.update((until,))
+        state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame(out, columns=["url", "request_id", "hit"])
+
+    return requests.groupBy("url").applyInPandasWithState(step, "url string, request_id long, hit boolean", "until long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def robots_posture(events: DataFrame, known_ms: int = 21_600_000, unknown_ms: int = 300_000) -> DataFrame:
+    """``(host, event_id, policy, ask)`` for ``events (host, event_id, at_ms, found)``: the policy each request goes by.
+
+    A host is asked when nothing is known of it any more: what it ``found`` holds for ``known_ms``, and for
+    ``unknown_ms`` if that is ``unknown`` or null.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        policy, until = state.get if state.exists else ("unknown", -1)
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["at_ms", "event_id"]).itertuples():
+            ask = r.at_ms >= until
+            if ask:
+                policy = r.found if isinstance(r.found, str) else "unknown"
+                until = r.at_ms + (unknown_ms if policy == "unknown" else known_ms)
+            out.append((key[0], r.event_id, policy, ask))
+        state.update((policy, until))
+        state.setTimeoutDuration(known_ms)
+        yield pd.DataFrame(out, columns=["host", "event_id", "policy", "ask"])
+
+    return events.groupBy("host").applyInPandasWithState(step, "host string, event_id long, policy string, ask boolean", "policy string, until long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def append_validators(batch: DataFrame, path: str) -> None:
     """For ``foreachBatch``: the last validators of each ``(target, url)`` of a batch, appended as a version of their own."""
     last = batch.groupBy("target", "url").agg(F.max_by(F.struct("etag", "last_modified", "content_region_sha256", "text_sha256"), "at_ms").alias("v"), F.max("at_ms").alias("at_ms"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pytest
+from pagewright import sql_functions
+from pagewright.config import LATENCY_WEIGHT
 from pagewright.functions import guard, text, urls
 from pagewright.operators import change, links, pages, policy, usage
 from pagewright.plans import crawl
@@ -175,3 +177,61 @@ def test_feed_discovery(spark):
 def test_pacing(spark):
     assert column(spark, [None, 10.0, 1000.5], lambda c: usage.interval_ms(c, 100, 2.0), "double") == [100, 100, 2001]
     assert column(spark, [5.0], lambda c: usage.interval_ms(c, 100), "double") == [100]
+
+
+def _chain(spark, n=9):
+    rows = [(f"https://s.example/{k}", [(f"https://s.example/{k + 1}", ""), (f"https://s.example/{k + 2}", "")], None, k == 2) for k in range(n)]
+    return spark.createDataFrame(rows, "url string, links array<struct<url:string,text:string>>, next_url string, not_modified boolean"), spark.createDataFrame([("https://s.example/", 0, "https://s.example/0")], "target string, ord int, url string")
+
+
+def test_a_crawl_goes_on_from_a_snapshot(spark, tmp_path):
+    site, seeds = _chain(spark)
+    visits = lambda df: [r.url.rpartition("/")[2] for r in df.orderBy("seq").collect()]
+    whole = crawl.crawl_sites(seeds, site, crawl.CrawlOptions(max_pages=99, max_depth=99))
+    stopped = crawl.crawl_sites(seeds, site, crawl.CrawlOptions(max_pages=99, max_depth=99, max_seconds=0, snapshots=str(tmp_path)))
+    assert visits(stopped) == ["0"] and stopped.first().truncated and not whole.filter("truncated").count()
+    rest = crawl.crawl_sites(seeds, site, crawl.CrawlOptions(max_pages=99, max_depth=99, resume=f"{tmp_path}/00000"))
+    assert visits(stopped) + visits(rest) == visits(whole) and [r.seq for r in rest.orderBy("seq").collect()] == list(range(1, whole.count()))
+    depths = {r.url: r.depth for r in whole.collect()}
+    assert all(depths[r.url] == r.depth for r in rest.collect())
+
+
+def test_scope_and_unmodified_pages(spark):
+    site, seeds = _chain(spark)
+    go = lambda **o: [r.url.rpartition("/")[2] for r in crawl.crawl_sites(seeds, site.drop("not_modified") if o.pop("plain", 1) else site, crawl.CrawlOptions(**o)).orderBy("seq").collect()]
+    assert go(max_pages=3, max_depth=99) == ["0", "1", "2"] and go(max_pages=99, max_depth=1) == ["0", "1", "2"]
+    assert go(max_pages=99, max_depth=99, exclude=("/[2-9]$",)) == ["0", "1"] and go(max_pages=99, max_depth=99, include=("/[12]$",)) == ["0", "1", "2"]
+    assert go(max_pages=99, max_depth=2, plain=0) == ["0", "1", "2", "3"]  # 2 isn't modified and leads nowhere, 1 leads to 3
+
+
+def test_usage_and_blocked_events(spark):
+    rows = spark.createDataFrame([("https://U:p@A.example/x", "ok", None, None), ("https://b.example:8/", "failed", "blocked", "off-domain redirect"), ("nonsense", "failed", "unreachable", "timed out")], "url string, outcome string, reason string, detail string")
+    assert [(r.host, r.ok, r.reason) for r in usage.usage_events(rows).collect()] == [("a.example", True, None), ("b.example", False, "blocked"), ("", False, "unreachable")]
+    assert [r.reason for r in usage.blocked_events(rows).collect()] == ["blocked"]
+
+
+def test_scan_of_a_key_longer_than_a_batch(spark):
+    rows = spark.range(30_000).select(F.lit("h").alias("host"), "id", (F.col("id") * 10).alias("at"), F.when(F.col("id") % 100 == 0, None).otherwise(F.col("id") % 50 + 1.0).alias("x")).union(spark.createDataFrame([(None, 1, 5, 2.0)], "host string, id long, at long, x double"))
+    got = {r.id: r for r in usage.adaptive_schedule(rows.filter("host is not null"), "host", "id", ["at", "id"], F.col("at"), F.col("x"), 8, 0.5).collect()}
+    free, average = None, None
+    for k in range(30_000):
+        run = k * 10 if free is None else max(k * 10, free)
+        gap = 8 if average is None else max(8, int(average * 0.5 + 0.5))
+        free = run + gap
+        if k % 100:
+            average = k % 50 + 1.0 if average is None else average * (1 - LATENCY_WEIGHT) + (k % 50 + 1.0) * LATENCY_WEIGHT
+        assert (got[k].run_at_ms, got[k].gap_ms) == (run, gap)
+    assert usage.cache_hits(rows, "host", ["at"], F.col("at"), 1000).filter("host is null or (requests = 30000 and hits = 29700)").count() == 2
+
+
+def test_table_functions(spark):
+    sql_functions.register(spark)
+    html = '<a href="/x">One</a><a href="https://other.example/">no</a><img src="/flyer.jpg" width=700 alt="A long alternative text"><script type="application/ld+json">{"@type":"Event","name":"Gig","startDate":"2026-05-06"}</script><ul><li>a</li><li>b</li></ul>'
+    spark.createDataFrame([("https://s.example/", html), ("https://s.example/", None)], "url string, html string").createOrReplaceTempView("tf")
+    rows = lambda q: [tuple(r) for r in spark.sql(q).collect()]
+    assert rows("select l.* from tf, lateral page_links(url, html) l") == [(0, "https://s.example/x", "One")]
+    assert rows("select i.url from tf, lateral page_images(url, html) i") == [("https://s.example/flyer.jpg",)]
+    assert rows("select e.event_name, e.date_text from tf, lateral page_events(html) e") == [("Gig", "May 6, 2026")]
+    assert rows("select * from text_diff('a\n\nb\n\nb', 'b\n\nc')") == [("added", "c"), ("removed", "a"), ("removed", "b")]
+    recipe = '{"version":1,"itemSelector":"ul li","fields":{"name":{"selector":":scope"}},"requiredField":"name"}'
+    assert rows(f"select r.ord from tf, lateral recipe_rows(html, '{recipe}') r") in ([(0,), (1,)], [])
