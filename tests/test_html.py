@@ -203,3 +203,23 @@ def test_a_page_that_fails_leaves_the_others(spark, monkeypatch):
     assert got[1].title == "a" and got[2] is None and got[3].markdown == "deep" and got[1].error is None
     monkeypatch.setattr(pages, "parse_page", lambda *a: 1 / 0)
     assert pages.parsed_or_error("u", "<p>", CrawlConfig()) == {"error": "ZeroDivisionError: division by zero"}
+
+
+def test_a_batch_is_read_in_pieces(monkeypatch):
+    """What is made of the first rows is handed over before the last ones are read, however many a batch has."""
+    import pyarrow as pa
+
+    read = []
+    monkeypatch.setattr(pages, "parse_page", lambda url, html, config: read.append(url) or {"title": url})
+    names, page = [f"u{k}" for k in range(200)], "<p>" + "x" * 50_000
+    out = pages.parse_udf().func(iter([(pa.array([*names, None]), pa.array([page] * 200 + [None])), (pa.array(["last"]), pa.array(["y" * 5_000_000]))]))
+    first = next(out)
+    assert len(first) == len(read) < 30
+    rest = [x for piece in out for x in piece.field("title").to_pylist()]
+    assert first.field("title").to_pylist() + rest == [*names, None, "last"] == read
+
+
+def test_rows_without_a_recipe_are_left_out(spark):
+    rows = spark.createDataFrame([("a", "<ul><li>1<li>2</ul>"), ("b", "<ul><li>1</ul>"), ("c", None)], "url string, html string")
+    got = pages.recipe_rows(rows, {"itemSelector": "li", "fields": {"n": {"selector": ""}}}).collect()
+    assert [(r.url, r.ord, r.draft) for r in got] == [("a", 0, {"n": "1"}), ("a", 1, {"n": "2"})]
