@@ -250,3 +250,21 @@ def test_the_guard_takes_the_normal_form_only_where_it_must(spark):
     assert got[1] == {"system-prompt-exfil": "reveal the system prompt"} and got[3] == {"direct-override": "ignore all previous rules"} and not got[4] and not got[5] and not got[6]
     assert got[2] == {"direct-override": "ignore all previous instructions"} and got[7] == {"system-prompt-exfil": "reveal the system prompt", "role-spoofing": "system: "}
     assert {r.k: r.c for r in rows}[5] == "a b c"
+
+
+def test_rows_are_compared_by_themselves(spark):
+    """As the comparison by windows and joins does it, also for keys of several rows and null ones; text of single keys isn't shuffled."""
+    import random
+
+    dice = random.Random(3)
+    version = lambda: None if dice.random() < 0.1 else "\n\n".join(dice.choice(["a", "b ", " c", "", "d" * 500, "é\u3000"]) for _ in range(dice.randrange(9)))
+    rows = [(k, version(), version()) for k in range(60)]
+    seen = lambda df: sorted((r.k is None, r.k, r.kind, r.ord, r.text) for r in df.collect())
+    frame = lambda rows: spark.createDataFrame(rows, "k int, previous string, current string")
+    alone = change.diff_content(frame(rows), "k")
+    assert seen(alone) == seen(change._pooled_diff(frame(rows), "k")) and alone.dtypes == change._pooled_diff(frame(rows), "k").dtypes
+    plan = alone._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    more = frame([*rows, (5, "x\n\ny", "y\n\nz"), (None, "n", "n")])
+    few = change.diff_content(more, "k").filter("k <> 5 and k is not null or text in ('x', 'z', 'n')")
+    assert seen(few) == seen(change._pooled_diff(more, "k").filter("k <> 5 and k is not null or text in ('x', 'z', 'n')"))
