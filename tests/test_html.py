@@ -223,3 +223,18 @@ def test_rows_without_a_recipe_are_left_out(spark):
     rows = spark.createDataFrame([("a", "<ul><li>1<li>2</ul>"), ("b", "<ul><li>1</ul>"), ("c", None)], "url string, html string")
     got = pages.recipe_rows(rows, {"itemSelector": "li", "fields": {"n": {"selector": ""}}}).collect()
     assert [(r.url, r.ord, r.draft) for r in got] == [("a", 0, {"n": "1"}), ("a", 1, {"n": "2"})]
+
+
+def test_a_read_page_is_freed_at_once():
+    """Trees, whose nodes know their parents, don't wait for the garbage collector."""
+    import gc
+
+    alive = lambda: sum(isinstance(x, tree.Node) for x in gc.get_objects())
+    gc.collect()
+    gc.disable()
+    try:
+        before = alive()
+        assert parse_page("https://a.example/", "<title>t</title><ul><li><a href=/b>b</a><li><p>c<table><tr><td>d</table></ul>", CrawlConfig())["title"] == "t"
+        assert alive() == before
+    finally:
+        gc.enable()

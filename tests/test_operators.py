@@ -268,3 +268,17 @@ def test_rows_are_compared_by_themselves(spark):
     more = frame([*rows, (5, "x\n\ny", "y\n\nz"), (None, "n", "n")])
     few = change.diff_content(more, "k").filter("k <> 5 and k is not null or text in ('x', 'z', 'n')")
     assert seen(few) == seen(change._pooled_diff(more, "k").filter("k <> 5 and k is not null or text in ('x', 'z', 'n')"))
+
+
+def test_normal_forms_are_made_in_pieces(monkeypatch):
+    """No list of a whole column is made."""
+    import pyarrow as pa
+    from pagewright.functions import arrow
+
+    held = []
+    pieces = arrow.pieces
+    monkeypatch.setattr(arrow, "pieces", lambda columns: (held.append(len(rows)) or rows for rows in pieces(columns)))
+    texts = ["ﬁ" * 1000, None, "a"] * 1000
+    assert guard._nfkc.func(pa.array(texts, pa.string())).to_pylist() == ["fi" * 1000, None, "a"] * 1000
+    assert len(held) > 3 and sum(held) == 3000
+    assert guard._nfkc.func(pa.array([None, None], pa.string())).to_pylist() == [None, None] and guard._nfkc.func(pa.array([], pa.string())).to_pylist() == []
