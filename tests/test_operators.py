@@ -282,3 +282,10 @@ def test_normal_forms_are_made_in_pieces(monkeypatch):
     assert guard._nfkc.func(pa.array(texts, pa.string())).to_pylist() == ["fi" * 1000, None, "a"] * 1000
     assert len(held) > 3 and sum(held) == 3000
     assert guard._nfkc.func(pa.array([None, None], pa.string())).to_pylist() == [None, None] and guard._nfkc.func(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_a_page_is_parsed_once_for_its_links(spark, sf):
+    from pagewright import queries
+
+    plan = queries.page_links(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
