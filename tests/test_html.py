@@ -238,3 +238,14 @@ def test_a_read_page_is_freed_at_once():
         assert alive() == before
     finally:
         gc.enable()
+
+
+def test_urls_that_were_read_are_not_kept():
+    """A worker that lives on remembers a few short URLs, however many links it has read."""
+    import weakref
+
+    page = whatwg.parse("https://a.example/dir/page")
+    seen = [weakref.ref(whatwg.parse(f"link{k}", page)) for k in range(2000)] + [weakref.ref(whatwg.parse(f"https://a.example/{k}")) for k in range(2000)]
+    seen += [weakref.ref(whatwg.parse(f"https://a.example/{k}?" + "x" * 5000)) for k in range(9)]
+    assert sum(x() is not None for x in seen) <= 1000
+    assert whatwg.parse("https://a.example/dir/page") == page and str(whatwg.parse("../x?y#z", page)) == "https://a.example/x?y#z"
